@@ -121,8 +121,8 @@ def split_oversized(docs: DataFrame, limits: DataFrame, *, tokenizer: str = DEFA
     others; without either, or with max_tokens null, a text is not cut. Pieces cover the text and
     have at most max_tokens tokens, counted in the text and, encoded by themselves, too; only a
     single character of more tokens is longer. A piece shares its last overlap_tokens with the
-    next, one to three more where that many end within a character. boundary tells where it ends:
-    paragraph, line, sentence, word, char, or end of the text. Null, empty and short texts give no
+    next, one to three more where that many end within a character. shared_tokens is that number,
+    0 for the last piece; boundary tells where it ends: paragraph, line, sentence, word, char, or end of the text. Null, empty and short texts give no
     row, equal texts are cut alike, further columns are ignored. Nothing is shuffled."""
     lim = limits.groupBy("source").agg(F.max(F.struct("max_tokens", "overlap_tokens")).alias("l"))
     own = small(lim.where("source is not null").select("source", F.col("l").alias("own")))
@@ -154,7 +154,7 @@ def split_oversized(docs: DataFrame, limits: DataFrame, *, tokenizer: str = DEFA
                     begin, end, c0, c1, level = (x.tolist() for x in parts)
                     of += [a + i] * len(begin)
                     numbers += range(len(begin))
-                    for r, v in zip(rows, (begin, end, c0, c1, [y - x for x, y in zip(begin, end, strict=True)], [0, *(x - y for x, y in zip(end, begin[1:], strict=False))], [NAMES[k] for k in level], [texts[a + i][x:y] for x, y in zip(c0, c1, strict=True)]), strict=False):
+                    for r, v in zip(rows, (begin, end, c0, c1, [y - x for x, y in zip(begin, end, strict=True)], [*(x - y for x, y in zip(end, begin[1:], strict=False)), 0], [NAMES[k] for k in level], [texts[a + i][x:y] for x, y in zip(c0, c1, strict=True)]), strict=False):
                         r += v
                 if of:
                     ints = [pa.array(r, pa.int32()) for r in rows[:6]]
