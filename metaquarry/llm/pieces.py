@@ -126,9 +126,10 @@ def split_oversized(docs: DataFrame, limits: DataFrame, *, tokenizer: str = DEFA
     row, equal texts are cut alike, further columns are ignored. Nothing is shuffled."""
     lim = limits.groupBy("source").agg(F.max(F.struct("max_tokens", "overlap_tokens")).alias("l"))
     own = small(lim.where("source is not null").select("source", F.col("l").alias("own")))
-    rest = F.broadcast(lim.where("source is null").select(F.col("l").alias("rest")).limit(1))
-    d = docs.select("doc_id", "source", "text").where("length(text) > 0").join(own, "source", "left").join(rest, how="left")
-    d = d.select("doc_id", "text", F.coalesce("own", "rest").alias("l")).select("doc_id", "text", F.col("l.max_tokens").cast("int").alias("most"), F.coalesce("l.overlap_tokens", F.lit(0)).cast("int").alias("overlap")).where("most is not null and octet_length(text) > most")
+    row = lim.where("source is null").select("l.*").first()  # one row, the limits of all other sources
+    rest = F.lit(None) if row is None else F.struct(F.lit(row[0]).cast("int").alias("max_tokens"), F.lit(row[1]).cast("int").alias("overlap_tokens"))
+    d = docs.select("doc_id", "source", "text").where("length(text) > 0").join(own, "source", "left")
+    d = d.select("doc_id", "text", F.coalesce("own", rest).alias("l")).select("doc_id", "text", F.col("l.max_tokens").cast("int").alias("most"), F.coalesce("l.overlap_tokens", F.lit(0)).cast("int").alias("overlap")).where("most is not null and octet_length(text) > most")
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, folder)

@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from metaquarry.llm import formatdup, mix, pieces, tokens
+from metaquarry.llm import formatdup, mix, parsing, pieces, tokens
 from metaquarry.session import table
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return parsing.broken_files(table(spark, d, "source_file"))
+
+
+def p4_rates(spark: SparkSession, d: str) -> DataFrame:
+    return parsing.broken_rates(table(spark, d, "source_file"))
+
+
+def p4_report_gaps(spark: SparkSession, d: str) -> DataFrame:
+    return parsing.report_gaps(table(spark, d, "source_file"), table(spark, d, "failed_file"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return formatdup.duplicate_pairs(table(spark, d, "emip_object"))
 
@@ -54,4 +66,4 @@ g AS (SELECT min(k.object_id) object_id, count(*) n_copies, sum(r.c)::BIGINT n_r
 SELECT g.object_id, k.system_name, k.object_type, k.q AS qualified_name, k.n AS name, g.n_copies, g.n_rows FROM g JOIN k USING (object_id)""",
 }
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_collapsed, p8_ids, p9_mix, p9_shares, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_rates, p4_report_gaps, p7_found, p7_collapsed, p8_ids, p9_mix, p9_shares, p10_pieces)}
