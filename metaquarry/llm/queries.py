@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from metaquarry.llm import formatdup, mix, parsing, pieces, tokens
+from metaquarry.llm import encoding, formatdup, mix, parsing, pieces, tokens
 from metaquarry.session import table
 
 
+def p3_restored(spark: SparkSession, d: str) -> DataFrame:
+    objects = encoding.garbled_texts(table(spark, d, "emip_object"), "object_id", "description", "emip_object")
+    return objects.unionByName(encoding.garbled_texts(table(spark, d, "failed_file"), "failure_id", "error_type", "failed_file"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_restored(spark, d).select("table_name", "record_key").distinct()
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return parsing.broken_files(table(spark, d, "source_file"))
 
@@ -66,4 +75,4 @@ g AS (SELECT min(k.object_id) object_id, count(*) n_copies, sum(r.c)::BIGINT n_r
 SELECT g.object_id, k.system_name, k.object_type, k.q AS qualified_name, k.n AS name, g.n_copies, g.n_rows FROM g JOIN k USING (object_id)""",
 }
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_rates, p4_report_gaps, p7_found, p7_collapsed, p8_ids, p9_mix, p9_shares, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_restored, p4_found, p4_rates, p4_report_gaps, p7_found, p7_collapsed, p8_ids, p9_mix, p9_shares, p10_pieces)}
