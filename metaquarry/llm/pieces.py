@@ -6,7 +6,9 @@ from the start cover the text: all greedy cuts of all texts of a batch in log2(p
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,16 @@ STOPS = ".!?;:…"
 WIDE_STOPS = "。！？；"
 
 
+@lru_cache(maxsize=1)
+def _stops() -> np.ndarray:
+    """1 for the characters of STOPS, 2 for those of WIDE_STOPS."""
+    table = np.zeros(sys.maxunicode + 2, dtype=np.uint8)
+    for kind, chars in ((1, STOPS), (2, WIDE_STOPS)):
+        for c in chars:
+            table[ord(c)] = kind
+    return table
+
+
 def boundary_levels(codes: np.ndarray, at: np.ndarray, words: np.ndarray, safe: np.ndarray) -> np.ndarray:
     """The kind of boundary before character at[i] of a text: codes are its characters, words
     marks boundaries between words, safe those between characters."""
@@ -38,7 +50,8 @@ def boundary_levels(codes: np.ndarray, at: np.ndarray, words: np.ndarray, safe:
     visible = np.where(char_classes()[codes] != 3, np.arange(n), -1)
     last = np.maximum.accumulate(visible)[np.maximum(at - 1, 0)]
     ends = breaks[np.maximum(at - 1, 0)] - np.where(last >= 0, breaks[np.maximum(last, 0)], 0)
-    stop = (np.isin(before, [ord(c) for c in STOPS]) & blank) | np.isin(before, [ord(c) for c in WIDE_STOPS])
+    kind = _stops()[before]
+    stop = ((kind == 1) & blank) | (kind == 2)
     level = np.where(words, WORD, CHAR)
     level = np.where(words & stop, SENTENCE, level)
     level = np.where(words & newline, LINE, level)
@@ -98,6 +111,7 @@ def cut_text(text: str, ids: np.ndarray, word_ends: np.ndarray, sizes: np.ndarra
     at_word = np.zeros(n + 1, dtype=bool)
     at_word[0] = True
     at_word[word_ends] = True
+    bounds = np.flatnonzero(at_word)
     level = boundary_levels(codes, at_char, at_word, safe)
     level[0] = level[n] = END
     limit = most
@@ -105,9 +119,16 @@ def cut_text(text: str, ids: np.ndarray, word_ends: np.ndarray, sizes: np.ndarra
         nxt, start = successors(level, limit, min(overlap, limit - 1))
         cuts = all_cuts(nxt)
         begin, end = start[cuts[:-1]], cuts[1:]
-        # A piece that starts or ends within a word may encode to more tokens by itself.
+        # A piece that starts or ends within a word may encode to more tokens by itself: its cut
+        # words, and the word behind the first of them, are encoded again.
         loose = np.flatnonzero(~(at_word[begin] & at_word[end]))
-        over = int(max([0, *(enc.count([text[at_char[a] : at_char[b]] for a, b in zip(begin[loose], end[loose], strict=True)]) - most)])) if len(loose) else 0
+        over = 0
+        if len(loose):
+            a, b = begin[loose], end[loose]
+            head = np.where(at_word[a], a, np.minimum(bounds[np.minimum(np.searchsorted(bounds, a) + 1, len(bounds) - 1)], b))
+            tail = np.where(at_word[b], b, np.maximum(bounds[np.searchsorted(bounds, b, side="right") - 1], head))
+            ends = enc.count([text[at_char[x] : at_char[y]] for x, y in (*zip(a, head, strict=True), *zip(tail, b, strict=True))])
+            over = int(max(0, (ends[: len(a)] + (tail - head) + ends[len(a) :]).max() - most))
         if over <= 0 or limit == 1:
             return begin, end, at_char[begin], at_char[end], level[end]
         limit = max(1, limit - over)
