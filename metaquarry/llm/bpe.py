@@ -183,7 +183,7 @@ class Encoder:
         begins = ends - lengths
         text_start[begins[lengths > 0]] = True
         cut = np.flatnonzero(word_starts(codes, text_start))
-        stops = np.append(cut[1:], len(codes)).tolist()
+        stops = [*cut[1:].tolist(), len(codes)][: len(cut)]
         words = [joined[a:b] for a, b in zip(cut.tolist(), stops, strict=True)]
         counts = np.searchsorted(cut, ends) - np.searchsorted(cut, begins)
         return words, counts
