@@ -121,7 +121,7 @@ def traits(c: str) -> tuple[str, float]:
     if cat in ("Cc", "Co", "Cn", "Cs"):
         return "?", 4.0
     if cat == "Cf":
-        return "s", 0.0 if o in (0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x2060, 0xFEFF) else 1.5
+        return "s", 0.0 if o in (0xAD, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x2060, 0xFEFF) else 1.5
     if cat[0] == "Z":
         return " ", 0.0
     if o < 0x250:
@@ -224,7 +224,9 @@ def cost(text: str) -> float:
                 total += 0.8
         elif k == "s":
             before, after = pk in "alc", nk in "alc"
-            if before and after and c not in "’'·‐‑-–—…/":
+            if c == "\xad":
+                total += 0.0 if pk == "a" and nk == "a" else 1.4
+            elif before and after and c not in "’'·‐‑-–—…/":
                 total += 2.0
             elif before and c not in AFTER:
                 total += 1.6
@@ -246,10 +248,13 @@ def restore_word(word: str) -> tuple[str, tuple[tuple[str, str], ...], bool]:
     """(cheapest text, the operations that lead there, whether the word is garbled).
 
     A word with a mark of a lost character is garbled though nothing restores it."""
+    plain = unescape(word)
+    if plain is not None:
+        best, path, bad = restore_word(plain)
+        return (best, (("unescape", ""), *path), True) if path else (word, (), bad)
     begin = cost(word)
     lost = any(m in word for m in MARKS)
-    escaped = _ESCAPED.search(word) is not None
-    if begin < max(SUSPICIOUS, 0.04 * len(word)) and not escaped:
+    if begin < max(SUSPICIOUS, 0.04 * len(word)):
         return word, (), lost
     best, best_cost, best_path = word, begin, ()
     heap: list[tuple[float, int, str, tuple]] = [(begin, 0, word, ())]
@@ -258,7 +263,7 @@ def restore_word(word: str) -> tuple[str, tuple[tuple[str, str], ...], bool]:
     while heap and states < MOST_STATES:
         _, _, text, path = heapq.heappop(heap)
         states += 1
-        steps: list[tuple[tuple[str, str], str | None]] = [(op, apply(text, *op)) for op in OPERATIONS] if any(ord(c) > 127 for c in text) else []
+        steps = [(op, apply(text, *op)) for op in OPERATIONS] if any(ord(c) > 127 for c in text) else []
         steps.append((("unescape", ""), unescape(text)))
         for op, new in steps:
             if new is None or new == text or hash(new) in visited:
@@ -327,5 +332,5 @@ def garbled_texts(rows: DataFrame, key: str, text: str, name: str) -> DataFrame:
 
     r = rows.select(F.col(key).cast("string").alias("record_key"), F.col(text).alias("text")).where("record_key is not null").where(F.col("text").rlike("[^\\x00-\\x7f]|&#?\\w+;|\\\\[ux][0-9a-fA-F]{2}|%[89A-Fa-f][0-9A-Fa-f]%"))
     parts = max(rows.sparkSession.sparkContext.defaultParallelism * 2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = r.repartition(parts, "record_key").dropDuplicates(["record_key", "text"]).mapInArrow(search, "record_key string, text string, restored string")
+    found = r.repartition(parts).mapInArrow(search, "record_key string, text string, restored string").dropDuplicates(["record_key", "text"])
     return found.select(F.lit(name).alias("table_name"), "record_key", "text", "restored", (~F.col("restored").contains("�")).alias("is_complete"))

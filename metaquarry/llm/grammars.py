@@ -221,7 +221,7 @@ primary_of: atom trailer* ;
 trailer: '.' name | '(' args? ')' | '[' slices ']' ;
 raise: 'raise' (expr ('from' expr)?)? ;
 global: ('global' | 'nonlocal') name (',' name)* ;
-import: 'import' dotted ('as' name)? (',' dotted ('as' name)?)* | 'from' ('.' | '...')* dotted? 'import' ('*' | '(' imported (',' imported)* ','? ')' | imported (',' imported)*) ;
+import: 'import' dotted ('as' name)? (',' dotted ('as' name)?)* | 'from' (('.' | '...')+ dotted? | dotted) 'import' ('*' | '(' imported (',' imported)* ','? ')' | imported (',' imported)*) ;
 imported: name ('as' name)? ;
 dotted: name ('.' name)* ;
 type_alias: 'type' name type_params? '=' expr ;
@@ -231,13 +231,15 @@ block: NEWLINE INDENT stmt+ DEDENT | simple_line ;
 if: 'if' named ':' block ('elif' named ':' block)* ('else' ':' block)? ;
 while: 'while' named ':' block ('else' ':' block)? ;
 for: 'for' targets 'in' star_exprs ':' block ('else' ':' block)? ;
-try: 'try' ':' block (('except' (star_exprs ('as' name)?)? ':' block)+ ('else' ':' block)? ('finally' ':' block)? | ('except' '*' expr ('as' name)? ':' block)+ ('else' ':' block)? ('finally' ':' block)? | 'finally' ':' block) ;
+try: 'try' ':' block (('except' (expr ('as' name)?)? ':' block)+ ('else' ':' block)? ('finally' ':' block)? | ('except' '*' expr ('as' name)? ':' block)+ ('else' ':' block)? ('finally' ':' block)? | 'finally' ':' block) ;
 with: 'with' (with_item (',' with_item)* | '(' with_item (',' with_item)* ','? ')') ':' block ;
 with_item: expr ('as' star_target)? ;
 decorated: ('@' named NEWLINE)+ (function | class | 'async' function) ;
 function: 'def' name type_params? '(' params? ')' ('->' expr)? ':' block ;
-params: param (',' param)* ','? ;
-param: name (':' expr)? ('=' expr)? | '*' (name (':' '*'? expr)?)? | '**' name (':' expr)? | '/' ;
+params: (plain (',' plain)* (',' '/' (',' plain)*)? (',' optional)* (',' '/' (',' optional)*)? | optional (',' optional)* (',' '/' (',' optional)*)?) (',' rest)? ','? | rest ','? ;
+plain: name (':' expr)? ;
+optional: name (':' expr)? '=' expr ;
+rest: '*' name (':' '*'? expr)? (',' (plain | optional))* (',' '**' plain)? | '*' (',' (plain | optional))+ (',' '**' plain)? | '**' plain ;
 class: 'class' name type_params? ('(' args? ')')? ':' block ;
 async: 'async' (function | for | with) ;
 match: 'match' subject ':' NEWLINE INDENT ('case' patterns ('if' named)? ':' block)+ DEDENT ;
@@ -265,8 +267,10 @@ atom: name | NUMBER | string+ | 'None' | 'True' | 'False' | '...' | '(' (yield |
 dict_item: '**' or_expr | expr ':' expr ;
 genexp: '(' named comp_for ')' ;
 comp_for: ('async'? 'for' targets 'in' disjunction ('if' disjunction)*)+ ;
-args: arg (',' arg)* ','? ;
-arg: name '=' expr | '*' expr | '**' expr | named comp_for? ;
+args: (first (',' first)* (',' second)* (',' third)* | second (',' second)* (',' third)* | third (',' third)*) ','? ;
+first: '*' expr | named comp_for? ;
+second: name '=' expr | '*' expr ;
+third: name '=' expr | '**' expr ;
 slices: slice (',' slice)* ','? ;
 slice: '*' or_expr | named | expr? ':' expr? (':' expr?)? ;
 string: STRING | FSTRING_START fpart* FSTRING_END ;
@@ -422,8 +426,8 @@ _XML_TOKEN = re.compile(
     rf"""(?P<comment><!--(?:(?!--).)*-->)
   |(?P<cdata><!\[CDATA\[.*?\]\]>)
   |(?P<declaration><\?xml\s+version\s*=\s*(?:"1\.\d"|'1\.\d')(?:\s+encoding\s*=\s*(?:"[\w.\-]+"|'[\w.\-]+'))?(?:\s+standalone\s*=\s*(?:"(?:yes|no)"|'(?:yes|no)'))?\s*\?>)
-  |(?P<instruction><\?(?!xml[\s?])(?:{_XML_NAME}).*?\?>)
-  |(?P<doctype><!DOCTYPE\s[^<>\[]*(?:\[.*?\]\s*)?>)
+  |(?P<instruction><\?(?!xml[\s?])(?:{_XML_NAME})(?:\s.*?)?\?>)
+  |(?P<doctype><!DOCTYPE\s+(?:{_XML_NAME})(?:\s+(?:SYSTEM|PUBLIC\s+(?:"[^"]*"|'[^']*'))\s+(?:"[^"]*"|'[^']*'))?\s*(?:\[(?:\s|<!--(?:(?!--).)*-->|<\?(?!xml[\s?])(?:{_XML_NAME})(?:\s.*?)?\?>|<!(?:ENTITY|ELEMENT|ATTLIST|NOTATION)\s+(?:%\s+)?(?:{_XML_NAME})\s(?:"[^"]*"|'[^']*'|[^<>"'])*>|%(?:{_XML_NAME});)*\]\s*)?>)
   |(?P<close></(?P<closed>{_XML_NAME})\s*>)
   |(?P<open><(?P<opened>{_XML_NAME})(?P<attributes>(?:\s+{_XML_NAME}\s*=\s*(?:"[^<"]*"|'[^<']*'))*)\s*(?P<empty>/?)>)
   |(?P<text>[^<]+)""",
