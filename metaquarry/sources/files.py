@@ -129,3 +129,10 @@ def decode(files: DataFrame) -> DataFrame:
         F.when(missing, "OSError").when(F.col("_d"), "UnsupportedInputError").otherwise(F.col("_o.error_type")).alias("error_type"),
         F.when(missing, "file could not be read").when(F.col("_d"), F.concat(F.lit(f"Unsupported input: {DUMP_REASON}: "), "path")).otherwise(F.col("_o.error_message")).alias("error_message"),
     )
+
+
+def checked(files: DataFrame) -> DataFrame:
+    """The same rows; a relative path or a negative length is an error when it is read."""
+    bad_path = F.raise_error(F.concat(F.lit("path must be absolute: "), "path")).cast("string")
+    bad_length = F.raise_error(F.concat(F.lit("length must not be negative: "), F.col("length").cast("string"))).cast("long")
+    return files.withColumns({"path": F.when(F.col("path").startswith("/"), F.col("path")).otherwise(bad_path), "length": F.when(F.col("length") >= 0, F.col("length")).otherwise(bad_length)})
