@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from metaquarry.session import cut, small
 
 FAN_BITS = 4
-LEAF_ROWS = 8
+LEAF_ROWS = 16
 
 
 def snapshot_pairs(jobs: DataFrame, *, system: str = "system_name", job: str = "scan_job_id", started: str = "started_at", status: str = "status") -> DataFrame:
@@ -41,10 +41,10 @@ def _roles(df: DataFrame, pairs: DataFrame) -> DataFrame:
     return df.join(small(roles), "_jn")
 
 
-def tree_depth(rows_of_largest: int) -> int:
-    """Levels below the root so that a leaf of the largest snapshot has about LEAF_ROWS rows."""
+def tree_depth(rows_of_mean: int) -> int:
+    """Levels below the root so that a leaf of a snapshot of mean size has at most LEAF_ROWS rows."""
     depth = 1
-    while depth < 12 and rows_of_largest > LEAF_ROWS << (FAN_BITS * depth):
+    while depth < 12 and rows_of_mean > LEAF_ROWS << (FAN_BITS * depth):
         depth += 1
     return depth
 
@@ -61,9 +61,9 @@ def snapshot_changes(rows: DataFrame, jobs: DataFrame) -> DataFrame:
     pairs = cut(snapshot_pairs(jobs))
     ids = small(pairs.select(F.col("_job").alias("scan_job_id"), "_jn"))
     of = rows.select("scan_job_id", "qualified_name", "column_name", plain_type("datatype").alias("dt"), "loaded_at").join(ids, "scan_job_id")
-    # One row per job, a table as small as the jobs.
-    largest = rows.select("scan_job_id").join(ids, "scan_job_id").groupBy("_jn").count().agg(F.max("count")).first()[0] or 1
-    depth = tree_depth(largest)
+    # One number for all trees: no snapshot has more than this many rows times the number of jobs.
+    mean = rows.select("scan_job_id").join(ids, "scan_job_id").count() // max(1, pairs.count())
+    depth = tree_depth(mean)
     state = (
         of.groupBy("_jn", "qualified_name", "column_name")
         .agg(F.max_by(F.struct("dt"), F.struct("loaded_at", "dt")).alias("s"))
@@ -81,7 +81,10 @@ def snapshot_changes(rows: DataFrame, jobs: DataFrame) -> DataFrame:
         if differing is not None:
             side = side.withColumn("up", F.shiftrightunsigned("node", FAN_BITS)).join(differing.withColumnRenamed("node", "up"), ["pair", "up"], "left_semi")
         differing = digest(side.groupBy("pair", "node")).where("x1 <> 0 or x2 <> 0 or n <> 0").select("pair", "node")
-    suspects = _roles(state, pairs).join(differing.withColumnRenamed("node", "leaf"), ["pair", "leaf"], "left_semi")
+    # A leaf that differs in a pair is looked up in both of its snapshots, so each row moves once.
+    jobs_of = pairs.where("_prev is not null").select(F.col("_jn").alias("pair"), F.explode(F.array(F.struct(F.col("_jn").alias("_jn"), F.lit(1).alias("sign")), F.struct(F.col("_prev").alias("_jn"), F.lit(-1).alias("sign")))).alias("r")).select("pair", "r.*")
+    wanted = differing.withColumnRenamed("node", "leaf").join(small(jobs_of), "pair")
+    suspects = state.join(wanted, ["_jn", "leaf"])
     here = lambda sign, c: F.max(F.when(F.col("sign") == sign, c))
     diff = (
         suspects.groupBy("pair", "qualified_name", "column_name")
