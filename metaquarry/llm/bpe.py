@@ -19,7 +19,7 @@ import numpy as np
 
 TOKENIZERS = "/opt/tokenizers"
 DEFAULT = "byte_bpe_50k"
-CACHED_WORDS = 400_000
+CACHED_WORDS, CACHED_PAIRS = 400_000, 500_000
 
 # The endings that an apostrophe at the start of a word takes with it.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -194,6 +194,8 @@ class Encoder:
         cache = self.words
         if len(cache) > CACHED_WORDS:
             cache.clear()
+        if len(self.merge) > CACHED_PAIRS:
+            self.merge.clear()
         new = [w for w in dict.fromkeys(words) if w not in cache]
         if new:
             self.encode_words(new)

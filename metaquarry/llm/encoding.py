@@ -20,15 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MOST_STATES = 24
-STEP_COST, UTF8_COST = 0.6, 0.1
-SUSPICIOUS = 0.7
-GAIN, UTF8_GAIN = 1.2, 0.6
+STEP_COST, RARE_COST, UTF8_COST = 0.6, 0.75, 0.1
+SUSPICIOUS, GAIN = 0.7, 0.6
 UTF8_FIRST = 6.0
 
 # The codes in which texts are read wrongly, and those in which they were written.
 SINGLE = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "koi8-r", "cp866", "cp1254", "cp1253")
 DOUBLE = ("gb18030", "cp950", "cp932", "cp949")
 LEGACY = ("cp1251", "cp1250", "cp1252", "cp950", "gbk", "cp932", "koi8-r", "cp866", "cp850", "cp437", "mac_roman", "cp949")
+COMMON = ("cp1252", "cp1250", "cp1251", "cp950", "gbk", "cp932")
 OPERATIONS = [(a, "utf-8") for a in (*SINGLE, *DOUBLE)] + [(a, b) for a in ("cp1252", "latin-1", "cp1251", "cp1250", "gbk", "cp950", "cp932", "koi8-r", "cp866", "cp850", "cp437", "mac_roman") for b in LEGACY if a != b and {a, b} != {"latin-1", "cp1252"}]
 
 _RUN = re.compile("[^\x00-\x7f]+")
@@ -58,6 +58,11 @@ def _from_byte(b: int, code: str) -> str:
         return chr(b)
 
 
+def step_cost(code: str) -> float:
+    """What a step costs that takes the text for written in a code: UTF-8 rarely fits by chance."""
+    return UTF8_COST if code == "utf-8" else STEP_COST if code in COMMON else RARE_COST
+
+
 def apply(text: str, a: str, b: str) -> str | None:
     """The text read again: as bytes of code a, decoded with code b; None where that fails.
 
@@ -269,14 +274,13 @@ def restore_word(word: str) -> tuple[str, tuple[tuple[str, str], ...], bool]:
             if new is None or new == text or hash(new) in visited:
                 continue
             visited.add(hash(new))
-            c = cost(new) + sum(UTF8_COST if b == "utf-8" else STEP_COST for _, b in (*path, op))
+            c = cost(new) + sum(step_cost(b) for _, b in (*path, op))
             if c < best_cost:
                 best, best_cost, best_path = new, c, (*path, op)
             if len(path) < 3 and c < begin + 2:
                 heapq.heappush(heap, (c - UTF8_FIRST * sum(b == "utf-8" for _, b in (*path, op)), len(visited), new, (*path, op)))
     decoded = any(op[0] != "unescape" for op in best_path)
-    need = UTF8_GAIN if all(b in ("utf-8", "") for _, b in best_path) else GAIN
-    if decoded and begin - best_cost >= need and best_cost <= 0.6 * begin:
+    if decoded and begin - best_cost >= GAIN and best_cost <= 0.6 * begin:
         return best, best_path, True
     return word, (), lost
 
