@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metaquarry.schemas import TABLES, complete_identity, natural_id, struct_type
@@ -145,9 +145,10 @@ def classify(objects: DataFrame, stored: DataFrame, order: str = "seq") -> DataF
     fine = complete_identity()
     ids = stored.select("object_id").distinct().withColumn("_id", F.lit(True))
     keys = stored.select("system_name", "qualified_name").distinct().withColumn("_key", F.lit(True))
-    firsts = lambda *c: F.min(F.when(fine, F.col(order))).over(Window.partitionBy(*c))
+    # First rows by grouping, which combines before the shuffle; a window would sort a hot key in one task.
+    firsts = lambda name, *c: objects.where(fine).groupBy(*c).agg(F.min(order).alias(name))
     o = objects.join(ids, "object_id", "left").join(keys, ["system_name", "qualified_name"], "left")
-    o = o.withColumn("_f1", firsts("system_name", "qualified_name")).withColumn("_f2", firsts("object_id"))
+    o = o.join(firsts("_f1", "system_name", "qualified_name"), ["system_name", "qualified_name"], "left").join(firsts("_f2", "object_id"), "object_id", "left")
     late = (F.col(order) > F.col("_f1")) | (F.col(order) > F.col("_f2"))
     outcome = F.when(~fine, "failed").when(F.col("_id").isNotNull() | F.col("_key").isNotNull() | late, "skipped").otherwise("created")
     return o.withColumn("outcome", outcome).select(*objects.columns, "outcome")

@@ -11,6 +11,22 @@ UPSTREAM, DOWNSTREAM = "UPSTREAM", "DOWNSTREAM"
 EDGE = ["relation_id", "from_object_id", "to_object_id", "relation_type", "source_type", "created_at"]
 
 
+MOST_IN_WINDOW = 1_000_000
+
+
+def numbered(df: DataFrame, group: str, *order: str) -> DataFrame:
+    """Adds number, 1, 2, ... within each group in the given order, which must be total. Rows are
+    sorted into ranges, and the ranges' sizes are summed up, so no group has to fit into a task."""
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = cut(df.repartitionByRange(parts, group, *order).sortWithinPartitions(group, *order).withColumn("_i", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_i", 33), F.col("_i").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = ranged.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
+    starts = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_s"))  # one row per range
+    at = ranged.withColumn("_p", part).join(F.broadcast(starts), "_p").withColumn("_g", F.col("_s") + place)
+    first = at.groupBy(group).agg(F.min("_g").alias("_f"))
+    return at.join(first, group).withColumn("number", F.col("_g") - F.col("_f") + 1).drop("_i", "_p", "_s", "_g", "_f")
+
+
 def traverse(relations: DataFrame, start: str | DataFrame, direction: str = DOWNSTREAM, max_depth: int | None = None) -> DataFrame:
     """The edges reached from the start in breadth-first order: start_id, position, depth and the
     edge. Edges to objects that were visited before are given too; each object is expanded once.
@@ -34,11 +50,15 @@ def traverse(relations: DataFrame, start: str | DataFrame, direction: str = DOWN
         reached = frontier.join(edges.withColumn("object_id", F.col(here)), "object_id")
         if base is not None:
             reached = reached.join(base, "start_id")
-        order = Window.partitionBy("start_id").orderBy("rank", "created_at", "relation_id")
-        before = F.coalesce("base", F.lit(0).cast("long")) if base is not None else F.lit(0).cast("long")
-        level = cut(reached.select("start_id", (F.row_number().over(order) + before).cast("long").alias("position"), F.lit(depth + 1).alias("depth"), *EDGE))
-        if level.isEmpty():
+        reached = cut(reached)
+        n = reached.count()
+        if not n:
             break
+        # Small levels are numbered by a window, large ones by a sort over all tasks.
+        by = ("rank", "created_at", "relation_id")
+        ordered = numbered(reached, "start_id", *by) if n > MOST_IN_WINDOW else reached.withColumn("number", F.row_number().over(Window.partitionBy("start_id").orderBy(*by)))
+        before = F.coalesce("base", F.lit(0).cast("long")) if base is not None else F.lit(0).cast("long")
+        level = cut(ordered.select("start_id", (F.col("number") + before).cast("long").alias("position"), F.lit(depth + 1).alias("depth"), *EDGE))
         levels.append(level)
         # The next frontier: objects not seen before, ranked by the first edge that reaches them.
         new = level.groupBy("start_id", F.col(there).alias("object_id")).agg(F.min("position").alias("rank"))

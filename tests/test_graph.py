@@ -62,6 +62,16 @@ def test_random_graph_in_breadth_first_order(spark, up):
     assert ids(G.traverse(e, "n1", direction, 2)) == walk(edges, "n1", up, 2)
 
 
+def test_large_levels_are_numbered_by_sorting(spark, monkeypatch):
+    monkeypatch.setattr(G, "MOST_IN_WINDOW", 0)
+    r = random.Random(6)
+    edges = [(f"n{r.randrange(15)}", f"n{r.randrange(15)}", r.randrange(3)) for _ in range(60)]
+    e = table(spark, edges)
+    got = G.traverse(e, spark.createDataFrame([("n1",), ("n2",)], "object_id string")).collect()
+    for s in ("n1", "n2"):
+        assert [x["relation_id"] for x in sorted(got, key=lambda x: x["position"]) if x["start_id"] == s] == walk(edges, s)
+
+
 def test_reachable(spark):
     e = table(spark, [("a", "b", 1), ("b", "c", 1), ("c", "a", 1), ("a", "c", 1)])
     assert rows(G.reachable(e, "a").select("object_id", "depth")) == [("b", 1), ("c", 1)]
