@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MOST_STATES = 24
-STEP_COST, RARE_COST, UTF8_COST = 0.6, 0.75, 0.1
+STEP_COST, RARE_COST, UTF8_COST = 0.6, 0.15, 0.1
 SUSPICIOUS, GAIN = 0.7, 0.6
 UTF8_FIRST = 6.0
 
@@ -28,6 +28,7 @@ UTF8_FIRST = 6.0
 SINGLE = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "koi8-r", "cp866", "cp1254", "cp1253")
 DOUBLE = ("gb18030", "cp950", "cp932", "cp949")
 LEGACY = ("cp1251", "cp1250", "cp1252", "cp950", "gbk", "cp932", "koi8-r", "cp866", "cp850", "cp437", "mac_roman", "cp949")
+READ_AS = ("cp1252", "latin-1", "cp1251", "cp1250", "gbk", "utf-8")
 COMMON = ("cp1252", "cp1250", "cp1251", "cp950", "gbk", "cp932")
 OPERATIONS = [(a, "utf-8") for a in (*SINGLE, *DOUBLE)] + [(a, b) for a in ("cp1252", "latin-1", "cp1251", "cp1250", "gbk", "cp950", "cp932", "koi8-r", "cp866", "cp850", "cp437", "mac_roman") for b in LEGACY if a != b and {a, b} != {"latin-1", "cp1252"}]
 
@@ -58,9 +59,11 @@ def _from_byte(b: int, code: str) -> str:
         return chr(b)
 
 
-def step_cost(code: str) -> float:
-    """What a step costs that takes the text for written in a code: UTF-8 rarely fits by chance."""
-    return UTF8_COST if code == "utf-8" else STEP_COST if code in COMMON else RARE_COST
+def step_cost(op: tuple[str, str]) -> float:
+    """What a step costs: UTF-8 rarely fits by chance, and codes that are read or written rarely
+    cost more than the common ones."""
+    a, b = op
+    return UTF8_COST if b == "utf-8" else STEP_COST + RARE_COST * ((b not in COMMON) + (a not in READ_AS))
 
 
 def apply(text: str, a: str, b: str) -> str | None:
@@ -274,7 +277,7 @@ def restore_word(word: str) -> tuple[str, tuple[tuple[str, str], ...], bool]:
             if new is None or new == text or hash(new) in visited:
                 continue
             visited.add(hash(new))
-            c = cost(new) + sum(step_cost(b) for _, b in (*path, op))
+            c = cost(new) + sum(map(step_cost, (*path, op)))
             if c < best_cost:
                 best, best_cost, best_path = new, c, (*path, op)
             if len(path) < 3 and c < begin + 2:
