@@ -1,8 +1,8 @@
 """The Parquet catalogue: set-at-a-time reads, writes, classification and resolution of edges.
 
-Each table is a folder of versions and a manifest that names the current one. A change writes a
-new version beside the old one and then swaps the manifest, so readers never see half of it and
-several tables change together."""
+Each table is a list of folders that a manifest names. A change writes new folders beside the old
+ones and then swaps the manifest in one step, so readers never see half of it and several tables
+change together. An append adds a folder, a rewrite replaces the list."""
 
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ from metaquarry.session import cut
 class Naming:
     """Names of tables: schema, prefix and name."""
 
-    def __init__(self, schema: str = "", table_prefix: str = "EMIP_"):
+    def __init__(self, schema: str = "", table_prefix: str = "META_"):
         self.schema, self.table_prefix = schema, table_prefix
 
     def table(self, name: str) -> str:
@@ -40,7 +40,8 @@ class Catalog:
         path = hadoop.Path(self.root)
         return hadoop, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _manifest(self) -> dict[str, str]:
+    def _manifest(self) -> dict[str, list[str]]:
+        """The folders that hold the current rows of each table."""
         hadoop, fs = self._fs()
         at = hadoop.Path(f"{self.root}/_manifest")
         if not fs.exists(at):
@@ -50,17 +51,25 @@ class Catalog:
             text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
-        return dict(line.split("\t") for line in text.splitlines() if line)
+        return {name: paths for name, *paths in (line.split("\t") for line in text.splitlines() if line)}
 
-    def _swap(self, manifest: dict[str, str]) -> None:
+    def _swap(self, manifest: dict[str, list[str]]) -> None:
+        """Puts a new manifest in the place of the old one in a single step."""
         hadoop, fs = self._fs()
         new, at = hadoop.Path(f"{self.root}/_manifest.{uuid.uuid4().hex}"), hadoop.Path(f"{self.root}/_manifest")
         stream = fs.create(new, True)
-        stream.write(bytearray("".join(f"{k}\t{v}\n" for k, v in sorted(manifest.items())), "utf-8"))
+        stream.write(bytearray("".join("\t".join([k, *v]) + "\n" for k, v in sorted(manifest.items())), "utf-8"))
         stream.close()
-        if fs.exists(at):
-            fs.delete(at, False)
-        fs.rename(new, at)
+        rename = getattr(hadoop, "Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        hadoop.FileContext.getFileContext(fs.getUri()).rename(fs.makeQualified(new), fs.makeQualified(at), how)
+
+    def _write(self, name: str, df: DataFrame) -> str:
+        path = f"{self.root}/{self.naming.folder(name)}/v-{uuid.uuid4().hex}"
+        fields = struct_type(TABLES[name]).fields
+        df.select(*[F.col(f.name).cast(f.dataType) for f in fields]).write.parquet(path)
+        return path
 
     def migrate(self) -> None:
         """Creates every table that is missing, empty, with its declared schema."""
@@ -74,20 +83,22 @@ class Catalog:
         """The current rows of a table; a table that is not there is empty."""
         where = self._manifest().get(name)
         schema = struct_type(TABLES[name])
-        return self.spark.read.schema(schema).parquet(where) if where else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*where) if where else self.spark.createDataFrame([], schema)
 
     def replace(self, tables: dict[str, DataFrame]) -> None:
         """Writes new versions of the tables and makes all of them current at once."""
-        manifest = self._manifest()
-        for name, df in tables.items():
-            path = f"{self.root}/{self.naming.folder(name)}/v-{uuid.uuid4().hex}"
-            columns = struct_type(TABLES[name]).names
-            df.select(*[F.col(c).cast(f.dataType) for c, f in zip(columns, struct_type(TABLES[name]).fields, strict=True)]).write.parquet(path)
-            manifest[name] = path
-        self._swap(manifest)
+        written = {name: [self._write(name, df)] for name, df in tables.items()}
+        self._swap(self._manifest() | written)
 
     def append(self, tables: dict[str, DataFrame]) -> None:
-        self.replace({n: self.read(n).unionByName(df.select(*self.read(n).columns)) for n, df in tables.items()})
+        """Adds rows to the tables, all at once; what is stored is not rewritten."""
+        written = {name: self._write(name, df) for name, df in tables.items()}
+        manifest = self._manifest()
+        self._swap(manifest | {name: [*manifest.get(name, []), path] for name, path in written.items()})
+
+    def compact(self, *names: str) -> None:
+        """Brings the folders that appends have left behind into one each."""
+        self.replace({n: self.read(n) for n in names or tuple(self._manifest())})
 
     def create_objects(self, objects: DataFrame, columns: DataFrame, properties: DataFrame) -> DataFrame:
         """Stores new objects with their children in one change; gives back what is stored."""

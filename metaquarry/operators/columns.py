@@ -21,6 +21,7 @@ TYPE_NAMES = {
     "BYTEA": "VARBINARY", "TIMESTAMP WITH TIME ZONE": "TIMESTAMPTZ", "TIMESTAMP WITHOUT TIME ZONE": "TIMESTAMP", "TIME WITHOUT TIME ZONE": "TIME", "STRING": "TEXT",
 }
 CALLS = {"CURRENT_TIMESTAMP": "CURRENT_TIMESTAMP()", "CURRENT_DATE": "CURRENT_DATE", "NOW": "CURRENT_TIMESTAMP"}
+# Words that begin a rule of a table or of a column.
 _TABLE_RULES = {"PRIMARY", "UNIQUE", "FOREIGN", "CHECK", "CONSTRAINT", "LIKE", "EXCLUDE"}
 _COLUMN_RULES = {"NOT", "NULL", "DEFAULT", "PRIMARY", "UNIQUE", "REFERENCES", "CHECK", "CONSTRAINT", "GENERATED", "COLLATE", "IDENTITY", "ENCODING", "DEFERRABLE", "INITIALLY", "COMMENT", "ON", "MATCH"}
 FIELDS = [("column_name", T.StringType()), ("ordinal_position", T.IntegerType()), ("datatype", T.StringType()), ("nullable", T.BooleanType()), ("default_value", T.StringType()), ("is_primary_key", T.BooleanType()), ("is_unique", T.BooleanType())]

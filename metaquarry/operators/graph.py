@@ -58,12 +58,12 @@ def traverse(relations: DataFrame, start: str | DataFrame, direction: str = DOWN
         by = ("rank", "created_at", "relation_id")
         ordered = numbered(reached, "start_id", *by) if n > MOST_IN_WINDOW else reached.withColumn("number", F.row_number().over(Window.partitionBy("start_id").orderBy(*by)))
         before = F.coalesce("base", F.lit(0).cast("long")) if base is not None else F.lit(0).cast("long")
-        level = cut(ordered.select("start_id", (F.col("number") + before).cast("long").alias("position"), F.lit(depth + 1).alias("depth"), *EDGE))
+        level = cut(ordered.select("start_id", (F.col("number") + before).cast("long").alias("position"), F.lit(depth + 1).alias("depth"), *EDGE), instead_of=reached)
         levels.append(level)
         # The next frontier: objects not seen before, ranked by the first edge that reaches them.
         new = level.groupBy("start_id", F.col(there).alias("object_id")).agg(F.min("position").alias("rank"))
-        frontier = cut(new.join(visited, ["start_id", "object_id"], "left_anti"))
-        visited = cut(visited.unionByName(frontier.select("start_id", "object_id")))
+        frontier = cut(new.join(visited, ["start_id", "object_id"], "left_anti"), instead_of=frontier)
+        visited = cut(visited.unionByName(frontier.select("start_id", "object_id")), instead_of=visited)
         base = level.groupBy("start_id").agg(F.max("position").alias("base"))
         depth += 1
     if not levels:

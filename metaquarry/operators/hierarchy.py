@@ -45,7 +45,8 @@ def subtree_sizes(links: DataFrame) -> DataFrame:
             state.join(gain, "v", "left")
             .join(jump, "a", "left")
             # Sizes on a cycle have no meaning; the bound keeps their sums from overflowing.
-            .select("v", "p", F.col("a2").alias("a"), F.least(F.col("size") + F.coalesce("g", F.lit(0)), F.lit(1 << 60)).alias("size"))
+            .select("v", "p", F.col("a2").alias("a"), F.least(F.col("size") + F.coalesce("g", F.lit(0)), F.lit(1 << 60)).alias("size")),
+            instead_of=state,
         )
         now = state.where("a is not null").count()
         if now == left:  # every pass ends the way of some node, unless only cycles are left
@@ -75,7 +76,7 @@ def hierarchy(relations: DataFrame, *, kind: str = "BELONGS_TO", with_path: bool
         walking = state.where(keep).join(up, "a").select("v", "p", "size", F.col("a2").alias("a"), F.col("top2").alias("top"), (F.col("lft") + F.col("l2")).alias("lft"), (F.col("depth") + F.col("d2")).alias("depth"), *([F.concat("p2", "path").alias("path")] if with_path else []))
         # A way that has ended keeps its root; nodes on cycles would grow without end, so the
         # passes stop once a pass ends no further way.
-        state = cut(state.where(~keep).unionByName(walking))
+        state = cut(state.where(~keep).unionByName(walking), instead_of=state)
         now = state.where("a is not null").count()
         if now == left:
             break

@@ -10,7 +10,8 @@ from metaquarry.functions import strip
 from metaquarry.operators.columns import COLUMNS, table_shape
 from metaquarry.schemas import natural_id
 
-# A name of one or two parts, in brackets or bare, behind a T-SQL phrase; (kind, name).
+# The phrases by which each kind of object is told. TSQL gives kind and name, a name
+# of one or two parts, in brackets or bare.
 _BRACKETED = "(?:\\[[^\\]]+\\]|[#A-Za-z_][\\w$#@]*)"
 TSQL = f"(?iU)\\b(?:CREATE\\s+(?:OR\\s+ALTER\\s+)?|ALTER\\s+)(TABLE|VIEW|FUNCTION|PROCEDURE|PROC)\\s+({_BRACKETED}(?:\\s*\\.\\s*{_BRACKETED})?)"
 TSQL_EVIDENCE = "(?iU)\\[|\\b(?:GO|OBJECT_ID|sys\\.|CLUSTERED|NONCLUSTERED|IDENTITY|GRANT)\\b|\\bCREATE\\s+OR\\s+ALTER\\b"

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from metaquarry.functions import strip
 from metaquarry.schemas import natural_id
 
+# The patterns of names, of dynamic SQL, of phrases that refer to an object, and of
+# trigger clauses, and the words that are no target.
 NAME = '(?:\\[[^\\]]+\\]|"[^" ]+"|[A-Za-z_#][\\w$#@]*)'
 REFERENCE = f"({NAME}(?:\\s*\\.\\s*{NAME}){{0,2}})"
 DYNAMIC = "(?iU)\\b(?:EXEC(?:UTE)?\\s*\\(|EXECUTE\\s+IMMEDIATE\\b|EXECUTE\\s+['\"]|sp_executesql\\b|EXECUTE\\s+[^'\"\\s]+\\s*\\+)"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from metaquarry.functions import strip, strip_bom
 
-# Lines of the shell psql, and lines that end a batch.
+# The patterns of lines of the shell psql, and of lines that end a batch.
 META = "(?md)^[ \\t]*\\\\[A-Za-z_][^\\r\\n]*(?:\\r?\\n|$)"
 BATCH = "(?imd)^[ \\t]*GO[ \\t]*(?:--[^\\r\\n]*)?(?:\\r?\\n|$)"
 
@@ -23,6 +23,7 @@ _PARTS = (
 )
 STATEMENT = f"(?:{'|'.join(_PARTS)})++;?|;"
 
+# The phrases that create or alter an object, and temporary tables.
 KINDS = "(?:TABLE|MATERIALIZED\\s+VIEW|VIEW|FUNCTION|PROCEDURE|PROC|TRIGGER)"
 CREATES = f"(?iU)(?:CREATE\\s+(?:OR\\s+(?:REPLACE|ALTER))?\\s*|ALTER\\s+){KINDS}\\b"
 TEMPORARY = "(?iU)CREATE\\s+(?:OR\\s+ALTER\\s+)?TABLE\\s+#"

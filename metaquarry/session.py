@@ -48,12 +48,22 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there and a lost executor
-    costs only the tasks that read it. Columns are stored as Parquet, so later reads prune."""
-    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    costs only the tasks that read it. Columns are stored as Parquet, so later reads prune.
+
+    instead_of is an earlier table of this kind that nothing reads any more; its files go once
+    the new ones are complete, so a loop keeps one table."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    new = spark.read.schema(df.schema).parquet(path)
+    new.cut_path = path
+    old = instead_of.__dict__.get("cut_path") if instead_of is not None else None
+    if old:
+        at = spark._jvm.org.apache.hadoop.fs.Path(old)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return new
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:

@@ -66,6 +66,8 @@ def test_edges_are_stored_once(spark, tmp_path):
     cat.create_objects(o, cat.read("COLUMN"), cat.read("PROPERTY"))
     found = spark.createDataFrame([("1", "q.b", "READS", "STATIC_SQL")] * 2 + [("1", "q.b", "CALLS", "STATIC_SQL")], "object_id string, target_qualified_name string, relation_type string, source_type string")
     assert cat.create_relations(found, o) == 3 and cat.read("RELATION").count() == 2
+    cat.compact("RELATION")
+    cat.compact()
     assert cat.create_relations(found, o) == 3 and cat.read("RELATION").count() == 2
 
 
@@ -89,7 +91,7 @@ def test_versions_targets_tags_and_rules(spark):
 def test_ids_and_names(spark):
     i = spark.range(1).select(natural_id(F.lit("s"), F.lit("q"))).first()[0]
     assert [len(x) for x in i.split("-")] == [8, 4, 4, 4, 12]
-    assert C.Naming("meta").table("OBJECT") == "meta.EMIP_OBJECT" and C.Naming(table_prefix="").table("OBJECT") == "OBJECT"
+    assert C.Naming("meta").table("OBJECT") == "meta.META_OBJECT" and C.Naming(table_prefix="").table("OBJECT") == "OBJECT"
 
 
 @pytest.mark.parametrize("bad", ["system_name", "qualified_name", "name"])
