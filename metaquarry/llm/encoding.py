@@ -244,6 +244,8 @@ def cost(text: str) -> float:
                 total += 0.5
             if pk == "l" and p in "ÃÂâ" and c not in "’”»":
                 total += 1.2
+            if c in "¡¿" and nk == "l" and i + 2 == n and text[i + 1].isupper():
+                total += 1.4
             if c in QUOTES_OPEN and pk in "al" and nk in "al.0":
                 total += 0.6
         elif k == " " and c == "\xa0" and p in "ÃÂ":
