@@ -22,6 +22,10 @@ from pyspark.sql import functions as F
 MOST_STATES = 24
 STEP_COST, RARE_COST, UTF8_COST = 0.6, 0.15, 0.1
 SUSPICIOUS, GAIN = 0.7, 0.6
+# The cost a character at which a word is searched as a whole, the cost that makes
+# a character part of a spot, how far a spot reaches beyond its costly characters, and the letters
+# it needs to be read in a code other than UTF-8.
+LONG_SHARE, NOTABLE, NEAR, FARTHEST, LETTERS = 0.04, 0.3, 4, 64, 3
 UTF8_FIRST = 6.0
 
 # The codes in which texts are read wrongly, and those in which they were written.
@@ -33,6 +37,8 @@ COMMON = ("cp1252", "cp1250", "cp1251", "cp950", "gbk", "cp932")
 OPERATIONS = [(a, "utf-8") for a in (*SINGLE, *DOUBLE)] + [(a, b) for a in ("cp1252", "latin-1", "cp1251", "cp1250", "gbk", "cp950", "cp932", "koi8-r", "cp866", "cp850", "cp437", "mac_roman") for b in LEGACY if a != b and {a, b} != {"latin-1", "cp1252"}]
 
 _RUN = re.compile("[^\x00-\x7f]+")
+_CJK = re.compile("([\u3000-\u9fff\uac00-\ud7a3\uff00-\uff60\U00020000-\U0003ffff]+)")
+_CUT = re.compile("[\x00-\x7f\u3000-\u3004\u3006-\u3020\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff60]")
 _STRAY = re.compile("[\udc80-\udcff]")
 _SPACE = re.compile("([ \t\r\n\f\v]+)")
 _ESCAPED = re.compile(r"&(?:#\d+|#x[0-9a-fA-F]+|[A-Za-z]\w+);|\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}|(?:%[89A-Fa-f][0-9A-Fa-f]){2,}")
@@ -181,15 +187,20 @@ def _han(c: str) -> float:
 
 def cost(text: str) -> float:
     """How implausible the characters of a word are, alone and side by side."""
-    total = 0.0
+    return sum(costs(text))
+
+
+def costs(text: str) -> list[float]:
+    """The share of each character in the cost of a word."""
+    out = []
     kinds = [traits(c) for c in text]
     latin_run = 0
     n = len(text)
     for i, c in enumerate(text):
-        k, own = kinds[i]
-        total += own
+        k, total = kinds[i]
         if k in "a0. ":
             latin_run = 0
+            out.append(total)
             continue
         p = text[i - 1] if i else " "
         pk = kinds[i - 1][0] if i else " "
@@ -250,22 +261,105 @@ def cost(text: str) -> float:
                 total += 0.6
         elif k == " " and c == "\xa0" and p in "ÃÂ":
             total += 1.6
-    return total
+        out.append(total)
+    return out
 
 
 @lru_cache(maxsize=200_000)
 def restore_word(word: str) -> tuple[str, tuple[tuple[str, str], ...], bool]:
     """(cheapest text, the operations that lead there, whether the word is garbled).
 
-    A word with a mark of a lost character is garbled though nothing restores it."""
+    A long word is judged as a whole and then spot by spot, as a spot must not pass for sound
+    because of the sound text around it; the operations are those of the whole word, else of its
+    first spot. A word with a mark of a lost character is garbled though nothing restores it."""
     plain = unescape(word)
     if plain is not None:
         best, path, bad = restore_word(plain)
         return (best, (("unescape", ""), *path), True) if path else (word, (), bad)
     begin = cost(word)
     lost = any(m in word for m in MARKS)
-    if begin < max(SUSPICIOUS, 0.04 * len(word)):
-        return word, (), lost
+    best, path = word, ()
+    if begin >= max(SUSPICIOUS, LONG_SHARE * len(word)):
+        best, path, _ = search(word)
+    if begin >= SUSPICIOUS and len(word) * LONG_SHARE > SUSPICIOUS:
+        best, first = restore_spots(best)
+        path = path or first
+    return best, path, lost or bool(path)
+
+
+def spots(text: str) -> Iterator[tuple[int, int]]:
+    """(begin, end) of the costly places of a long word; places less than NEAR apart are one."""
+    begin = end = -1
+    for i, c in enumerate(costs(text)):
+        if c < NOTABLE:
+            continue
+        if begin >= 0 and i - end >= NEAR:
+            yield begin, end
+            begin = i
+        begin, end = (begin if begin >= 0 else i), i + 1
+    if begin >= 0:
+        yield begin, end
+
+
+def restore_spots(word: str) -> tuple[str, tuple[tuple[str, str], ...]]:
+    """(the word with its garbled spots restored, the operations of the first one).
+
+    First the stretches without CJK characters, as a garbled spot among these need not touch any;
+    then the whole, for codes that were read as CJK ones."""
+    out, first = [], ()
+    for i, stretch in enumerate(_CJK.split(word)):
+        if i % 2 == 0 and _RUN.search(stretch):
+            stretch, path = _restore_spots(stretch)
+            first = first or path
+        out.append(stretch)
+    new, path = _restore_spots("".join(out)) if len(out) > 1 else (out[0], ())
+    return new, first or path
+
+
+def _restore_spots(word: str) -> tuple[str, tuple[tuple[str, str], ...]]:
+    """A spot is tried by itself, with a few neighbours, as its whole run up to ASCII or CJK
+    punctuation, and with the word if that is short; what lowers the cost of the place most is
+    taken, against fixed thresholds. Codes other than UTF-8 fit somewhere by chance, so they count
+    for spots with a few letters and, as to Han characters, for whole runs only."""
+    out, done, first = [], 0, ()
+    for begin, end in spots(word):
+        if begin < done:
+            continue
+        left, right = begin, end
+        while left > done and begin - left < FARTHEST and not _CUT.match(word[left - 1]):
+            left -= 1
+        while right < len(word) and right - end < FARTHEST and not _CUT.match(word[right]):
+            right += 1
+        tries = [(begin, end), (max(begin - NEAR, done), min(end + NEAR, len(word))), (left, right)]
+        if done == 0 and len(word) <= FARTHEST:
+            tries.append((0, len(word)))
+        chosen, most = None, 0.0
+        for lo, hi in dict.fromkeys(tries):
+            part = word[lo:hi]
+            new, path, gain = search(part)
+            kinds = [traits(c)[0] for c in part]
+            weak = any(k in "zko" for k in kinds) and (lo, hi) != (left, right) or sum(k in "alcgzko" for k in kinds) < LETTERS
+            if not path or weak and any(b != "utf-8" for _, b in path):
+                continue
+            before, after = word[max(lo - NEAR, done) : lo], word[hi : hi + NEAR]
+            gain -= cost(before + new + after) - cost(new) - (cost(before + part + after) - cost(part))
+            if gain >= GAIN and gain > most:
+                chosen, most = (lo, hi, new, path), gain
+        if chosen:
+            lo, hi, new, path = chosen
+            out += [word[done:lo], new]
+            done = hi
+            first = first or path
+    return "".join(out) + word[done:], first
+
+
+@lru_cache(maxsize=200_000)
+def search(word: str) -> tuple[str, tuple[tuple[str, str], ...], float]:
+    """(cheapest text, the operations that lead there, what is gained by them); no operations
+    where nothing better enough is reached."""
+    begin = cost(word)
+    if begin < SUSPICIOUS:
+        return word, (), 0.0
     best, best_cost, best_path = word, begin, ()
     heap: list[tuple[float, int, str, tuple]] = [(begin, 0, word, ())]
     visited = {hash(word)}
@@ -286,8 +380,8 @@ def restore_word(word: str) -> tuple[str, tuple[tuple[str, str], ...], bool]:
                 heapq.heappush(heap, (c - UTF8_FIRST * sum(b == "utf-8" for _, b in (*path, op)), len(visited), new, (*path, op)))
     decoded = any(op[0] != "unescape" for op in best_path)
     if decoded and begin - best_cost >= GAIN and best_cost <= 0.6 * begin:
-        return best, best_path, True
-    return word, (), lost
+        return best, best_path, begin - best_cost
+    return word, (), 0.0
 
 
 def restore(text: str) -> tuple[str, bool]:

@@ -49,6 +49,16 @@ def test_sound_texts_stay():
         assert E.restore(t) == (t, False), t
 
 
+@pytest.mark.parametrize("n", [50, 130, 1000, 5000])
+def test_spots_in_long_unbroken_text(n):
+    path, zh = ("/srv/data" * n)[:n], (TEXTS["zh"][:-1] * n)[:n]
+    for left, right in ((path + "/", "/x.sql"), ("http://a.b/" + path + "?q=", "&z=1"), (zh, zh), (zh + "。", "。")):
+        assert E.restore(left + "crÃ©dit" + right) == (left + "crédit" + right, True)
+        assert E.restore(left + "crédit" + right) == (left + "crédit" + right, False)
+    for right, wrong in (("utf-8", "cp1252"), ("cp950", "cp1252")):
+        assert E.restore(zh + garble(TEXTS["zh"], right, wrong) + zh) == (zh + TEXTS["zh"] + zh, True)
+
+
 def test_lost_characters_and_marks():
     for t in ("pr�ft", "ï¿½", "ï»¿SELECT"):
         assert E.restore(t)[1]
