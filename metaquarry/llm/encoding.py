@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_STATES = 24
+MOST_STATES = 100
 STEP_COST, RARE_COST, UTF8_COST = 0.6, 0.15, 0.1
 SUSPICIOUS, GAIN = 0.7, 0.6
 # The cost a character at which a word is searched as a whole, the cost that makes
@@ -198,7 +198,7 @@ def costs(text: str) -> list[float]:
     n = len(text)
     for i, c in enumerate(text):
         k, total = kinds[i]
-        if k in "a0. ":
+        if k in "a0. " and c != "\xa0":
             latin_run = 0
             out.append(total)
             continue
@@ -259,7 +259,7 @@ def costs(text: str) -> list[float]:
                 total += 1.4
             if c in QUOTES_OPEN and pk in "al" and nk in "al.0":
                 total += 0.6
-        elif k == " " and c == "\xa0" and p in "ÃÂ":
+        elif k == " " and p in ("Ã", "Â") and not text[max(i - 2, 0) : i - 1].isupper():
             total += 1.6
         out.append(total)
     return out
@@ -356,28 +356,36 @@ def _restore_spots(word: str) -> tuple[str, tuple[tuple[str, str], ...]]:
 @lru_cache(maxsize=200_000)
 def search(word: str) -> tuple[str, tuple[tuple[str, str], ...], float]:
     """(cheapest text, the operations that lead there, what is gained by them); no operations
-    where nothing better enough is reached."""
+    where nothing better enough is reached. The search ends when no queued text can become cheaper
+    than the best one by what its steps cost already, or after MOST_STATES texts."""
     begin = cost(word)
     if begin < SUSPICIOUS:
         return word, (), 0.0
     best, best_cost, best_path = word, begin, ()
-    heap: list[tuple[float, int, str, tuple]] = [(begin, 0, word, ())]
+    bound = min(begin - GAIN, 0.6 * begin) + 1e-9
+    heap: list[tuple[float, int, str, tuple, float]] = [(begin, 0, word, (), 0.0)]
     visited = {hash(word)}
     states = 0
     while heap and states < MOST_STATES:
-        _, _, text, path = heapq.heappop(heap)
+        _, _, text, path, spent = heapq.heappop(heap)
+        if spent + UTF8_COST >= bound:
+            continue
         states += 1
-        steps = [(op, apply(text, *op)) for op in OPERATIONS] if any(ord(c) > 127 for c in text) else []
-        steps.append((("unescape", ""), unescape(text)))
-        for op, new in steps:
+        wide = any(ord(c) > 127 for c in text)
+        for op in (*OPERATIONS, ("unescape", "")):
+            # Nothing that is reached by this step can be cheaper than its steps.
+            paid = spent + step_cost(op)
+            if paid >= bound or not wide and op[0] != "unescape":
+                continue
+            new = unescape(text) if op[0] == "unescape" else apply(text, *op)
             if new is None or new == text or hash(new) in visited:
                 continue
             visited.add(hash(new))
-            c = cost(new) + sum(map(step_cost, (*path, op)))
+            c = cost(new) + paid
             if c < best_cost:
                 best, best_cost, best_path = new, c, (*path, op)
-            if len(path) < 3 and c < begin + 2:
-                heapq.heappush(heap, (c - UTF8_FIRST * sum(b == "utf-8" for _, b in (*path, op)), len(visited), new, (*path, op)))
+                bound = min(bound, c)
+            heapq.heappush(heap, (c - UTF8_FIRST * sum(b == "utf-8" for _, b in (*path, op)), len(visited), new, (*path, op), paid))
     decoded = any(op[0] != "unescape" for op in best_path)
     if decoded and begin - best_cost >= GAIN and best_cost <= 0.6 * begin:
         return best, best_path, begin - best_cost

@@ -43,6 +43,12 @@ def test_twice_garbled_and_mixed(k):
     assert E.restore(TEXTS["de"] + " / " + twice) == (TEXTS["de"] + " / " + TEXTS[k], True)
 
 
+@pytest.mark.parametrize("k", list(TEXTS))
+def test_twice_garbled_in_every_language(k):
+    assert E.restore(garble(garble(TEXTS[k], "utf-8", "cp1252"), "utf-8", "cp1252")) == (TEXTS[k], True)
+    assert E.restore("IRMÃ\xa0DE") == ("IRMÃ\xa0DE", False)
+
+
 def test_sound_texts_stay():
     sound = [*TEXTS.values(), "Ï and Ÿ are valid letters (Loÿ, Naïm).", "PAÍS/AÇÃO/IRMÃ: NÃO ALTERAR, Âmbito", "Σ(a_b) ≤ 5, Δ über alle Zonen", "Đơn vị tính là nghìn đồng.", "┌── A.B ──┐ → c", "Prüft ob x ≠ ‹leer› — sonst „trade“.", "ﾃｽﾄ ｶﾅ half-width", "5 µm², 20 °C ± 2 %, £5 or ¥3, § 3, © 2020, ½, n.º 4", "¿Por qué? ¡Sí! «a» “b” …", "a & b < c; 100%", "", "soft\u00adhyphen", "日本語テキストとSQL文"]
     for t in sound:
