@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 50_000
+MOST_TASKS = 200_000  # a task then holds more than its share, nothing is left out
 
 
 def local_session(name: str = "metaquarry", cores: int | str = "*", memory: str = "8g", partitions: int = 8) -> SparkSession:
@@ -71,6 +72,15 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def tasks_for(df: DataFrame) -> int:
+    """A number of tasks for costly work on the rows of df, without reading them: one for each
+    spark.sql.files.maxPartitionBytes of the planner's estimate of their size, and two or more a core."""
+    spark = df.sparkSession
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    per = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return max(2 * spark.sparkContext.defaultParallelism, min(-(-size // per), MOST_TASKS))
+
+
 def spread(spark: SparkSession, rows: int, per: int = 250_000) -> int:
     """A number of buckets that grows with the rows, never below the shuffle partitions."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per))
