@@ -76,7 +76,7 @@ def tasks_for(df: DataFrame) -> int:
     """A number of tasks for costly work on the rows of df, without reading them: one for each
     spark.sql.files.maxPartitionBytes of the planner's estimate of their size, and two or more a core."""
     spark = df.sparkSession
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     per = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     return max(2 * spark.sparkContext.defaultParallelism, min(-(-size // per), MOST_TASKS))
 
