@@ -67,20 +67,63 @@ def _read(text: str) -> dict[str, tuple]:
     return rules
 
 
+class Rows(dict):
+    """Of each state the actions by the kind of the next token, made when first asked for: to take
+    the token (0, state, 0), to call a rule (1, state, state after it) or to end one (2, 0, 0)."""
+
+    def __init__(self, grammar: Grammar, of: tuple):
+        super().__init__()
+        self.grammar, self.of = grammar, of
+
+    def __missing__(self, s: int) -> dict[int, tuple]:
+        edges, final, owner, entry, empty, first, follow = self.of
+        after, a = follow[owner[s]], {}
+
+        def add(mask: int, way: tuple) -> None:
+            while mask:
+                low = mask & -mask
+                a.setdefault(low.bit_length() - 1, []).append(way)
+                mask ^= low
+
+        for (k, x), t in edges[s].items():
+            if k == "t":
+                add(1 << self.grammar.kinds[x], (0, t, 0))
+            else:
+                ahead = first[entry[x]]
+                if empty[entry[x]]:
+                    ahead |= first[t] | (after if empty[t] else 0)
+                add(ahead, (1, entry[x], t))
+        if final[s]:
+            add(after, (2, 0, 0))
+        for (one, two), number in self.grammar.both.items():
+            ways = dict.fromkeys(a.get(one, []) + a.get(two, []))
+            if ways:
+                a[number] = list(ways)
+        row = self[s] = {k: tuple(v) for k, v in a.items()}
+        return row
+
+
 class Grammar:
-    """The automata of all rules as one table of actions per state and token."""
+    """The automata of all rules as one table of actions per state and token.
 
-    def __init__(self, text: str, start: str):
+    Only the rules in `calls` (all, if none are named) are called through the stack. The others
+    are built into the automata that use them, where alternatives with the same beginning become
+    one way; every recursion has to pass through a rule that is called."""
+
+    def __init__(self, text: str, start: str, calls: str = ""):
         rules = _read(text)
         self.kinds: dict[str, int] = {END: 0}
+        self.both: dict[tuple[int, int], int] = {}
         self.start = start
+        self.inner = {x: b for x, b in rules.items() if calls and x not in calls.split() and x != start}
         edges: list[dict[tuple, int]] = []  # of each state: (kind, symbol) -> state
         final: list[bool] = []
         owner: list[str] = []
         entry: dict[str, int] = {}
         for name, body in rules.items():
-            self._automaton(name, body, edges, final, owner, entry)
-        unknown = {s for e in edges for k, s in e if k == "n" and s not in rules}
+            if name not in self.inner:
+                self._automaton(name, body, edges, final, owner, entry)
+        unknown = {s for e in edges for k, s in e if k == "n" and s not in entry}
         if unknown:
             raise ValueError(f"grammar: no rule {sorted(unknown)}")
         for e in edges:
@@ -89,8 +132,7 @@ class Grammar:
                     self.kinds.setdefault(s, len(self.kinds))
         self._tables(edges, final, owner, entry)
 
-    @staticmethod
-    def _automaton(name: str, body: tuple, edges: list, final: list, owner: list, entry: dict) -> None:
+    def _automaton(self, name: str, body: tuple, edges: list, final: list, owner: list, entry: dict) -> None:
         eps: list[list[int]] = []
         on: list[list[tuple[tuple, int]]] = []
 
@@ -101,6 +143,8 @@ class Grammar:
 
         def build(x: tuple, a: int) -> int:
             kind = x[0]
+            if kind == "n" and x[1] in self.inner:
+                return build(self.inner[x[1]], a)
             if kind in "tn" and len(kind) == 1:
                 b = node()
                 on[a].append((x, b))
@@ -129,14 +173,22 @@ class Grammar:
         first = node()
         last = build(body, first)
 
+        known_from: dict[int, frozenset[int]] = {}
+
+        def reach(a: int) -> frozenset[int]:
+            """The nodes with edges, or the last one, that are reached without a symbol."""
+            if a not in known_from:
+                todo, met = [a], {a}
+                while todo:
+                    for y in eps[todo.pop()]:
+                        if y not in met:
+                            met.add(y)
+                            todo.append(y)
+                known_from[a] = frozenset(y for y in met if on[y] or y == last)
+            return known_from[a]
+
         def closure(s: set[int]) -> frozenset[int]:
-            todo = list(s)
-            while todo:
-                for y in eps[todo.pop()]:
-                    if y not in s:
-                        s.add(y)
-                        todo.append(y)
-            return frozenset(s)
+            return frozenset().union(*map(reach, s))
 
         begin = closure({first})
         known = {begin: len(edges)}
@@ -162,129 +214,116 @@ class Grammar:
                 edges[known[s]][sym] = known[t]
 
     def _tables(self, edges: list, final: list, owner: list, entry: dict) -> None:
+        """What may come next, as sets of kinds in the bits of numbers; see Rows."""
         n = len(edges)
         empty = [False] * n  # the rest of the rule may be empty
-        first: list[set[int]] = [set() for _ in range(n)]
+        first = [0] * n
         change = True
         while change:
             change = False
-            for s in range(n):
-                e = final[s] or any(k == "n" and empty[entry[x]] and empty[t] for (k, x), t in edges[s].items())
-                f = set(first[s])
+            for s in range(n - 1, -1, -1):
+                e, f = final[s] or empty[s], first[s]
                 for (k, x), t in edges[s].items():
                     if k == "t":
-                        f.add(self.kinds[x])
+                        f |= 1 << self.kinds[x]
                     else:
                         f |= first[entry[x]]
                         if empty[entry[x]]:
                             f |= first[t]
+                            e = e or empty[t]
                 if e != empty[s] or f != first[s]:
                     empty[s], first[s], change = e, f, True
-        follow: dict[str, set[int]] = {x: set() for x in entry}
-        follow[self.start].add(0)
+        follow = dict.fromkeys(entry, 0)
+        follow[self.start] = 1
         change = True
         while change:
             change = False
             for s in range(n):
                 for (k, x), t in edges[s].items():
                     if k == "n":
-                        add = first[t] | (follow[owner[s]] if empty[t] else set())
-                        if not add <= follow[x]:
-                            follow[x] |= add
-                            change = True
+                        add = follow[x] | first[t] | (follow[owner[s]] if empty[t] else 0)
+                        if add != follow[x]:
+                            follow[x], change = add, True
         self.entry = entry[self.start]
-        self.pairs: dict[tuple[int, int, int], tuple | None] = {}
-        self.act: list[dict[int, tuple]] = []
-        for s in range(n):
-            a: dict[int, list] = {}
-            for (k, x), t in edges[s].items():
-                if k == "t":
-                    a.setdefault(self.kinds[x], []).append((0, t, 0))
-                else:
-                    ahead = set(first[entry[x]])
-                    if empty[entry[x]]:
-                        ahead |= first[t] | (follow[owner[s]] if empty[t] else set())
-                    for tok in ahead:
-                        a.setdefault(tok, []).append((1, entry[x], t))
-            if final[s]:
-                for tok in follow[owner[s]]:
-                    a.setdefault(tok, []).append((2, 0, 0))
-            self.act.append({k: tuple(v) for k, v in a.items()})
-
-    def accepts(self, kinds: list[list[int]]) -> tuple[bool, int]:
-        """(whether the tokens are a sentence, how far they can be read). A token may be of two
-        kinds, as a word that is a keyword and a name; ways by either are followed."""
-        tokens = [k[0] for k in kinds] + [0]
-        other = {i: k[1] for i, k in enumerate(kinds) if len(k) > 1}
-        act, last, far = self.act, len(tokens) - 1, 0
+        self.act = Rows(self, (edges, final, owner, entry, empty, first, follow))
+
+    def kind(self, *names: str) -> int:
+        """The number of a kind of token. A token of two kinds, as a word that is a keyword and a
+        name, has a number of its own; ways by either are followed."""
+        if len(names) == 1:
+            return self.kinds[names[0]]
+        pair = (self.kinds[names[0]], self.kinds[names[1]])
+        if pair not in self.both:
+            self.both[pair] = len(self.kinds) + len(self.both)
+            self.act.clear()
+        return self.both[pair]
+
+    def accepts(self, kinds: list[int]) -> tuple[bool, int]:
+        """(whether the tokens are a sentence, how far they can be read)."""
+        tokens = [*kinds, 0]
+        act, last, far = self.act, len(kinds), 0
         # A node of the stack: (calls that wait for it: (state, node), positions where it ended).
         root: tuple[list, list] = ([], [])
-        nodes: dict[tuple[int, int], tuple[list, list]] = {(self.entry, 0): root}
+        nodes: dict[int, dict[int, tuple[list, list]]] = {}  # of each position: by the state entered
         seen: set[tuple[int, int, int]] = set()
         work: list[tuple[int, tuple, int]] = [(self.entry, root, 0)]
         while work:
             state, node, i = work.pop()
             while True:
                 ways = act[state].get(tokens[i])
-                if i in other:
-                    ways = self._both(state, tokens[i], other[i])
                 if ways is None:
                     if i > far:
                         far = i
                     break
-                for kind, x, back in ways[1:]:
-                    self._step(kind, x, back, node, i, nodes, seen, work)
+                if len(ways) > 1:
+                    for way in ways[1:]:
+                        work.append((way[1], node, i + 1)) if way[0] == 0 else self._step(way, node, i, nodes, seen, work)
                 kind, x, back = ways[0]
                 if kind == 0:
                     state = x
                     i += 1
                 elif kind == 1:
-                    called = nodes.get((x, i))
+                    here = nodes.get(i)
+                    if here is None:
+                        here = nodes[i] = {}
+                    called = here.get(x)
                     if called is None:
-                        called = nodes[(x, i)] = ([(back, node)], [])
+                        called = here[x] = ([(back, node)], [])
                         state, node = x, called
                     else:
-                        self._step(1, x, back, node, i, nodes, seen, work)
+                        self._step(ways[0], node, i, nodes, seen, work)
                         break
                 else:
                     if node is root and i == last:
                         return True, last
-                    ended = node[1]
+                    calls, ended = node
                     if i in ended:
                         break
                     ended.append(i)
-                    calls = node[0]
-                    for b, parent in calls[1:]:
-                        key = (b, id(parent), i)
-                        if key not in seen:
-                            seen.add(key)
-                            work.append((b, parent, i))
                     if not calls:
                         break
+                    if len(calls) > 1:
+                        for b, parent in calls[1:]:
+                            key = (b, id(parent), i)
+                            if key not in seen:
+                                seen.add(key)
+                                work.append((b, parent, i))
                     b, parent = calls[0]
                     key = (b, id(parent), i)
                     if key in seen:
                         break
                     seen.add(key)
                     state, node = b, parent
-        return 0 < last and last in root[1] or (last == 0 and 0 in root[1]), far
-
-    def _both(self, state: int, a: int, b: int) -> tuple | None:
-        key = (state, a, b)
-        ways = self.pairs.get(key, key)
-        if ways is key:
-            one, two = self.act[state].get(a), self.act[state].get(b)
-            ways = self.pairs[key] = tuple(dict.fromkeys((one or ()) + (two or ()))) or None
-        return ways
+        return last in root[1], far
 
     @staticmethod
-    def _step(kind: int, x: int, back: int, node: tuple, i: int, nodes: dict, seen: set, work: list) -> None:
-        if kind == 0:
-            work.append((x, node, i + 1))
-        elif kind == 1:
-            called = nodes.get((x, i))
+    def _step(way: tuple, node: tuple, i: int, nodes: dict, seen: set, work: list) -> None:
+        kind, x, back = way
+        if kind == 1:
+            here = nodes.setdefault(i, {})
+            called = here.get(x)
             if called is None:
-                called = nodes[(x, i)] = ([(back, node)], [])
+                called = here[x] = ([(back, node)], [])
                 work.append((x, called, i))
                 return
             for b, parent in called[0]:

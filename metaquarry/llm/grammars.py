@@ -14,8 +14,7 @@ from functools import lru_cache
 from metaquarry.llm.gll import Grammar
 
 SQL = r"""
-script: (own_item | GO | ';' | pg_stmt (';' | GO))* pg_stmt? ;
-own_item: ts_stmt ;
+script: (ts_stmt | GO | ';' | pg_stmt (';' | GO))* pg_stmt? ;
 
 # names and types, for all dialects
 ident: IDENT | BRACKET | SOFT ;
@@ -124,7 +123,8 @@ not_exists: 'IF' 'NOT' 'EXISTS' ;
 if_exists: 'IF' 'EXISTS' ;
 
 # PostgreSQL and Greenplum statements
-pg_stmt: query | insert | update | delete | merge | truncate | pg_table | gp_table | pg_view | pg_matview | pg_function | pg_trigger | pg_index | pg_drop | pg_alter | pg_grant | pg_other ;
+pg_stmt: pg_prefix* (query | insert | update | delete | merge | truncate | pg_table | gp_table | pg_view | pg_matview | pg_function | pg_trigger | pg_index | pg_drop | pg_alter | pg_grant | pg_other) ;
+pg_prefix: 'EXPLAIN' ident* | 'PREPARE' ident names? 'AS' ;
 pg_table: 'CREATE' scope? 'TABLE' not_exists? name (columns pg_partition_by? | 'OF' name columns? | 'PARTITION' 'OF' name columns? ('FOR' 'VALUES' partition_bound | 'DEFAULT') pg_partition_by?) pg_table_tail* ;
 scope: ('GLOBAL' | 'LOCAL')? ('TEMPORARY' | 'TEMP') | 'UNLOGGED' ;
 pg_table_tail: 'INHERITS' '(' name (',' name)* ')' | with_options | 'WITHOUT' 'OIDS' | 'ON' 'COMMIT' ('DROP' | 'DELETE' 'ROWS' | 'PRESERVE' 'ROWS') | 'TABLESPACE' ident | 'AS' query ('WITH' 'NO'? 'DATA')? | 'USING' ident ;
@@ -143,7 +143,7 @@ pg_view: 'CREATE' ('OR' 'REPLACE')? (scope | 'RECURSIVE')? 'VIEW' name names? wi
 pg_matview: 'CREATE' 'MATERIALIZED' 'VIEW' not_exists? name names? ('USING' ident)? with_options? ('TABLESPACE' ident)? 'AS' query ('WITH' 'NO'? 'DATA')? ('DISTRIBUTED' ('BY' names | 'RANDOMLY' | 'REPLICATED'))? ;
 pg_function: 'CREATE' ('OR' 'REPLACE')? ('FUNCTION' | 'PROCEDURE') name '(' (parameter (',' parameter)*)? ')' ('RETURNS' ('TABLE' '(' ident type (',' ident type)* ')' | 'SETOF'? type))? function_option+ ;
 parameter: ('IN' | 'OUT' | 'INOUT' | 'VARIADIC')? ident? ('OUT' | 'IN')? type (('DEFAULT' | '=' | ':=') expr)? ;
-function_option: 'LANGUAGE' (ident | STRING) | 'AS' (DOLLAR | STRING) (',' STRING)? | 'IMMUTABLE' | 'STABLE' | 'VOLATILE' | 'NOT'? 'LEAKPROOF' | 'STRICT' | ('CALLED' | 'RETURNS' 'NULL') 'ON' 'NULL' 'INPUT' | 'EXTERNAL'? 'SECURITY' ('DEFINER' | 'INVOKER') | 'COST' NUMBER | 'ROWS' NUMBER | 'WINDOW' | 'PARALLEL' ident | 'SET' ident ('=' | 'TO') (ident | STRING | NUMBER) (',' ident)* | 'NO' 'SQL' | 'CONTAINS' 'SQL' | 'READS' 'SQL' 'DATA' | 'MODIFIES' 'SQL' 'DATA' | 'EXECUTE' 'ON' ident+ | 'RETURN' expr | 'BEGIN' 'ATOMIC' (pg_stmt ';')* 'END' ;
+function_option: 'LANGUAGE' (ident | STRING) | 'AS' (DOLLAR | STRING) (',' STRING)? | 'IMMUTABLE' | 'STABLE' | 'VOLATILE' | 'NOT'? 'LEAKPROOF' | 'STRICT' | ('CALLED' | 'RETURNS' 'NULL') 'ON' 'NULL' 'INPUT' | 'EXTERNAL'? 'SECURITY' ('DEFINER' | 'INVOKER') | 'COST' NUMBER | 'ROWS' NUMBER | 'WINDOW' | 'PARALLEL' ident | 'SET' ident ('=' | 'TO') (ident | STRING | NUMBER) (',' ident)* | 'NO' 'SQL' | 'CONTAINS' 'SQL' | 'READS' 'SQL' 'DATA' | 'MODIFIES' 'SQL' 'DATA' | 'EXECUTE' 'ON' ident+ | 'RETURN' expr | 'BEGIN' 'ATOMIC' ((query | insert | update | delete | merge) ';')* 'END' ;
 pg_trigger: 'CREATE' ('OR' 'REPLACE')? 'CONSTRAINT'? 'TRIGGER' ident ('BEFORE' | 'AFTER' | 'INSTEAD' 'OF') event ('OR' event)* 'ON' name ('FROM' name)? ('NOT'? 'DEFERRABLE' | 'INITIALLY' ident)* ('REFERENCING' (('OLD' | 'NEW') 'TABLE' 'AS'? ident)+)? ('FOR' 'EACH'? ('ROW' | 'STATEMENT'))? ('WHEN' '(' expr ')')? 'EXECUTE' ('FUNCTION' | 'PROCEDURE') name '(' (expr (',' expr)*)? ')' ;
 event: 'INSERT' | 'DELETE' | 'TRUNCATE' | 'UPDATE' ('OF' ident (',' ident)*)? ;
 pg_index: 'CREATE' 'UNIQUE'? clustering? 'INDEX' 'CONCURRENTLY'? (not_exists? ident)? 'ON' 'ONLY'? name ('USING' ident)? '(' index_part (',' index_part)* ')' ('INCLUDE' names)? with_options? ('TABLESPACE' ident)? ('WHERE' expr)? ;
@@ -163,7 +163,7 @@ pg_other: 'COMMENT' 'ON' ('COLUMN' | 'CONSTRAINT' ident 'ON' | 'TRIGGER' ident '
   | ('ANALYZE' | 'VACUUM') ident* (name names?)? | 'REINDEX' ('TABLE' | 'INDEX') name | 'REFRESH' 'MATERIALIZED' 'VIEW' 'CONCURRENTLY'? name ('WITH' 'NO'? 'DATA')?
   | 'SET' ('SESSION' | 'LOCAL')? (name ('=' | 'TO') (set_value (',' set_value)*) | 'ROLE' ident | 'TIME' 'ZONE' set_value) | 'RESET' (name | 'ALL') | 'SHOW' (name | 'ALL')
   | ('BEGIN' | 'START' 'TRANSACTION' | 'COMMIT' | 'ROLLBACK' | 'END') ('WORK' | 'TRANSACTION')? | 'SAVEPOINT' ident | 'DO' ('LANGUAGE' ident)? DOLLAR ('LANGUAGE' ident)? | 'DO' STRING
-  | 'CALL' name '(' (arg (',' arg)*)? ')' | 'LOCK' 'TABLE'? name ('IN' ident+ 'MODE')? | 'COPY' name names? ('FROM' | 'TO') (STRING | ident) ('WITH'? copy_option*) | 'EXPLAIN' ident* pg_stmt | 'NOTIFY' ident | 'EXECUTE' ident ('(' expr (',' expr)* ')')? | 'PREPARE' ident names? 'AS' pg_stmt | 'DISCARD' ('ALL' | ident) ;
+  | 'CALL' name '(' (arg (',' arg)*)? ')' | 'LOCK' 'TABLE'? name ('IN' ident+ 'MODE')? | 'COPY' name names? ('FROM' | 'TO') (STRING | ident) ('WITH'? copy_option*) | 'NOTIFY' ident | 'EXECUTE' ident ('(' expr (',' expr)* ')')? | 'DISCARD' ('ALL' | ident) ;
 set_value: ident | STRING | sign? NUMBER | 'TRUE' | 'FALSE' | 'ON' | 'DEFAULT' | 'LOCAL' ;
 copy_option: options | ident | STRING | 'AS' | 'NULL' | 'DELIMITER' | 'QUOTE' | 'ESCAPE' ;
 
@@ -249,7 +249,7 @@ open_pattern: '*' name | or_pattern ('as' name)? ;
 or_pattern: closed ('|' closed)* ;
 closed: ('-'? NUMBER) (('+' | '-') NUMBER)? | string+ | 'None' | 'True' | 'False' | dotted ('(' (class_arg (',' class_arg)* ','?)? ')')? | '(' patterns? ')' | '[' patterns? ']' | '{' (map_item (',' map_item)* ','?)? '}' ;
 class_arg: name '=' open_pattern | open_pattern ;
-map_item: '**' name | ('-'? NUMBER | string+ | dotted | 'None' | 'True' | 'False') ':' open_pattern ;
+map_item: '**' name | ('-'? NUMBER (('+' | '-') NUMBER)? | string+ | dotted | 'None' | 'True' | 'False') ':' open_pattern ;
 star_exprs: star_expr (',' star_expr)* ','? ;
 star_expr: '*' or_expr | expr ;
 star_named: '*' or_expr | named ;
@@ -258,11 +258,12 @@ yield: 'yield' ('from' expr | star_exprs)? ;
 expr: disjunction ('if' disjunction 'else' expr)? | lambda ;
 lambda: 'lambda' (lambda_param (',' lambda_param)* ','?)? ':' expr ;
 lambda_param: name ('=' expr)? | '*' name? | '**' name | '/' ;
-disjunction: 'not'* comparison (('and' | 'or') 'not'* comparison)* ;
-comparison: or_expr (('==' | '!=' | '<' | '>' | '<=' | '>=' | 'in' | 'not' 'in' | 'is' | 'is' 'not') or_expr)* ;
-or_expr: unary (OPERATOR unary | '*' unary | '**' unary | '-' unary | '+' unary | '/' unary | '|' unary | '@' unary)* ;
+disjunction: 'not'* unary ((binary | compare | ('and' | 'or') 'not'*) unary)* ;
+compare: '==' | '!=' | '<' | '>' | '<=' | '>=' | 'in' | 'not' 'in' | 'is' | 'is' 'not' ;
+binary: OPERATOR | '*' | '**' | '-' | '+' | '/' | '|' | '@' ;
+or_expr: unary (binary unary)* ;
 unary: ('-' | '+' | '~')* 'await'? primary ;
-primary: atom trailer* | atom trailer* genexp ;
+primary: atom trailer* genexp? ;
 atom: name | NUMBER | string+ | 'None' | 'True' | 'False' | '...' | '(' (yield | star_named (',' star_named)* ','? | named comp_for)? ')' | '[' (star_named (',' star_named)* ','? | named comp_for)? ']' | '{' (dict_item (',' dict_item)* ','? | expr ':' expr comp_for | star_named (',' star_named)* ','? | named comp_for)? '}' ;
 dict_item: '**' or_expr | expr ':' expr ;
 genexp: '(' named comp_for ')' ;
@@ -286,146 +287,169 @@ array: '[' (value (',' value)*)? ']' ;
 """
 
 
+# That an end tag has the name of its start tag is no matter of the grammar; the reader sees to it.
+XML = r"""
+document: DECLARATION? misc* DOCTYPE? misc* element misc* ;
+misc: COMMENT | INSTRUCTION | BLANK ;
+element: EMPTY | OPEN (element | misc | TEXT | CDATA)* CLOSE ;
+"""
+
+# The rules that are called through the stack; see Grammar.
+SQL_CALLS = "expr arith atom query select source table columns type element options dropped ts_one call over sorts gp_parts insert update delete merge group"
+PYTHON_CALLS = "stmt block expr unary atom args targets target open_pattern params star_exprs fpart"
+JSON_CALLS = "value"
+
+
 @lru_cache(maxsize=1)
 def sql_grammar() -> Grammar:
-    return Grammar(SQL, "script")
+    return Grammar(SQL, "script", SQL_CALLS)
 
 
 @lru_cache(maxsize=1)
 def python_grammar() -> Grammar:
-    return Grammar(PYTHON, "file")
+    return Grammar(PYTHON, "file", PYTHON_CALLS)
 
 
 @lru_cache(maxsize=1)
 def json_grammar() -> Grammar:
-    return Grammar(JSON, "text")
+    return Grammar(JSON, "text", JSON_CALLS)
 
 
-@lru_cache(maxsize=256)
-def xml_grammar(names: int) -> Grammar:
-    """Elements of `names` different names, each to be closed by its own end tag."""
-    pairs = " | ".join(f"'<{i}' content* '</{i}'" for i in range(names))
-    return Grammar(f"document: DECLARATION? misc* DOCTYPE? misc* element misc* ; misc: COMMENT | INSTRUCTION | BLANK ; element: EMPTY {'| ' + pairs if pairs else ''} ; content: element | COMMENT | INSTRUCTION | BLANK | TEXT | CDATA ;", "document")
+@lru_cache(maxsize=1)
+def xml_grammar() -> Grammar:
+    return Grammar(XML, "document", "element")
 
 
+# What a comment inside another, or a text between named dollar signs, begins with is taken by
+# itself, as is any character that begins no token.
 _SQL_TOKEN = re.compile(
-    r"""(?P<blank>\s+|--[^\n]*|﻿)
-  |(?P<comment>/\*)
-  |(?P<meta>(?<![^\n])[ \t]*\\[A-Za-z_!?;.][^\n]*)
-  |(?P<string>[nN]?'(?:[^']|'')*'|[eE]'(?:[^'\\]|\\.|'')*'|[xXbB]'[0-9a-fA-F]*'|[uU]&'(?:[^']|'')*')
-  |(?P<quoted>"(?:[^"]|"")+")
-  |(?P<dollar>\$(?P<tag>(?:[^\W\d]\w*)?)\$(?:.*?)\$(?P=tag)\$)
-  |(?P<parameter>\$\d+|:[A-Za-z_]\w*\b(?<!:)|:'[^'\n]*'|:"[^"\n]*")
-  |(?P<variable>@@?[\w$#]+)
-  |(?P<subscript>\[\s*(?:\d+(?:\s*:\s*\d+)?)?\s*\])
-  |(?P<bracket>\[(?:[^\]\n]|\]\])+\])
-  |(?P<number>(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?(?![\w$]))
-  |(?P<word>(?:[^\W\d]|\#\#?[^\W\d])[\w$\#@]*)
-  |(?P<op>::|:=|=>|<=|>=|<>|!=|!~\*|!~|~\*|\|\||->>|->|\#>>|\#>|@>|<@|&&|<<|>>|\+=|-=|\*=|[-+*/%^=<>~|&\#().,;\[\]?])""",
-    re.X | re.S,
+    r"""^[ \t]*GO(?:[ \t]+\d+)?[ \t]*;?[ \t]*(?:--[^\n]*)?\r?\n
+  |^[ \t]*\\[A-Za-z_!?;.][^\n]*
+  |\s*\n|[^\S\n]+|--[^\n]*|﻿
+  |/\*[^*/]*+(?:(?:\*(?!/)|/(?!\*))[^*/]*+)*+\*/
+  |/\*
+  |[nN]?'[^']*+(?:''[^']*+)*+'|[eE]'(?:[^'\\]|\\.|'')*+'|[xXbB]'[0-9a-fA-F]*'|[uU]&'[^']*+(?:''[^']*+)*+'
+  |"(?:[^"]|"")++"
+  |\$\$.*?\$\$
+  |\$[^\W\d]\w*\$
+  |\$\d+|:[A-Za-z_]\w*\b(?<!:)|:'[^'\n]*'|:"[^"\n]*"
+  |@@?[\w$#]+
+  |\[\s*(?:\d+(?:\s*:\s*\d+)?)?\s*\]
+  |\[(?:[^\]\n]|\]\])+\]
+  |(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?(?![\w$])|\d[\w$]*
+  |(?:[^\W\d]|\#\#?[^\W\d])[\w$\#@]*
+  |::|:=|=>|<=|>=|<>|!=|!~\*|!~|~\*|\|\||->>|->|\#>>|\#>|@>|<@|&&|<<|>>|\+=|-=|\*=|.""",
+    re.X | re.S | re.M | re.I,
+)
+_SQL_CLASS = re.compile(
+    r"""(?P<GO>[ \t]*GO.*\n\Z)|(?P<skip>\s|--|/\*.|﻿|\\.)|(?P<STRING>(?:[nexb]|u&)?'.*'\Z)|(?P<IDENT>"..+)|(?P<DOLLAR>\$\$.+|\$\w*[^\W\d]\w*\$.+)
+  |(?P<PARAMETER>\$\d+|:["'\w].*)|(?P<VARIABLE>@@?[\w$#].*)|(?P<SUBSCRIPT>\[\s*(?:\d+(?:\s*:\s*\d+)?)?\s*\])|(?P<BRACKET>\[.+)|(?P<NUMBER>(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?\Z)|(?P<word>\#?\#?[^\W\d].*)""",
+    re.X | re.S | re.I,
 )
-_GO = re.compile(r"(?im)^[ \t]*GO(?:[ \t]+\d+)?[ \t]*;?[ \t]*(?:--[^\n]*)?\r?$")
 _COMMENT_EDGE = re.compile(r"/\*|\*/")
+_OPEN_DOLLAR = re.compile(r"\$[^\W\d]\w*\$\Z")
+KEPT_TOKENS, KEPT_LENGTH = 100_000, 64
+
+
+class SqlKinds(dict):
+    """The kind of each token text: 0 for none, -1 for what is no token, -2 for what is opened and
+    has to be closed. As many short texts as KEPT_TOKENS are kept; all others are looked at again."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        g = self.grammar = sql_grammar()
+        named = {"IDENT", "BRACKET", "SOFT", "NUMBER", "STRING", "DOLLAR", "VARIABLE", "PARAMETER", "SUBSCRIPT", "GO"}
+        reserved = set(RESERVED)
+        self.words = {w: g.kind(w) if w in reserved else g.kind(w, "SOFT") for w in g.kinds if (w.isalpha() or "_" in w) and w not in named}
+        self.words |= {w: -1 for w in reserved if w not in self.words}
+
+    def __missing__(self, token: str) -> int:
+        kind = self.kind_of(token)
+        if len(token) <= KEPT_LENGTH:
+            if len(self) >= KEPT_TOKENS:
+                self.clear()
+            self[token] = kind
+        return kind
+
+    def kind_of(self, token: str) -> int:
+        g = self.grammar
+        m = _SQL_CLASS.match(token)
+        if token == "/*" or _OPEN_DOLLAR.match(token):
+            return -2
+        if m is None:
+            return g.kinds.get(token, -1)
+        if m.lastgroup == "word":
+            return self.words.get(token.upper(), g.kinds["IDENT"])
+        return 0 if m.lastgroup == "skip" else g.kinds[m.lastgroup]
 
 
 @lru_cache(maxsize=1)
-def _sql_kinds() -> tuple[dict[str, int], int, dict[str, int]]:
-    g = sql_grammar()
-    soft = g.kinds["SOFT"]
-    words = {k: v for k, v in g.kinds.items() if k.isalpha() or "_" in k}
-    reserved = set(RESERVED)
-    return ({w: v for w, v in words.items() if w not in ("IDENT", "BRACKET", "SOFT", "NUMBER", "STRING", "DOLLAR", "VARIABLE", "PARAMETER", "SUBSCRIPT", "GO")}, soft, {w: -2 for w in reserved if w not in words})
+def sql_kinds() -> SqlKinds:
+    return SqlKinds()
 
 
-def sql_tokens(text: str) -> list[list[int]] | None:
+def sql_tokens(text: str) -> list[int] | None:
     """Kinds of each token of a script; a word that is a keyword and may be a name has both."""
-    g = sql_grammar()
-    kinds, soft, refused = _sql_kinds()
-    k = g.kinds
-    reserved = set(RESERVED)
-    ident, string, go = k["IDENT"], k["STRING"], k["GO"]
-    separators = [m.start() for m in _GO.finditer(text)] if "go" in text.lower() else []
-    gos = set(separators)
-    out: list[list[int]] = []
-    at, n, match = 0, len(text), _SQL_TOKEN.match
+    of = sql_kinds()
+    text += "\n"  # a separator takes its line end
+    kinds = list(map(of.__getitem__, _SQL_TOKEN.findall(text)))
+    if -2 in kinds:
+        kinds = _closed(text, of)
+    return None if kinds is None or -1 in kinds else [k for k in kinds if k]
+
+
+def _closed(text: str, of: SqlKinds) -> list[int] | None:
+    """The kinds where comments lie in comments or texts between named dollar signs; None where
+    one does not end."""
+    out, at, n = [], 0, len(text)
     while at < n:
-        if gos and at in gos:
-            out.append([go])
-            at = _GO.match(text, at).end()
-            continue
-        m = match(text, at)
-        if m is None:
-            return None
-        kind, end = m.lastgroup, m.end()
-        if kind == "tag":
-            kind = "dollar"
-        if kind == "blank":
-            if gos and end > at:
-                # a line that is a separator begins within the blanks before it
-                inner = [s for s in separators if at < s < end]
-                if inner:
-                    end = inner[0]
-        elif kind == "comment":
-            depth, end = 1, at + 2
-            while depth:
-                e = _COMMENT_EDGE.search(text, end)
-                if e is None:
-                    return None
-                depth += 1 if e[0] == "/*" else -1
-                end = e.end()
-        elif kind == "word":
-            w = m[0].upper()
-            c = kinds.get(w)
-            if c is None:
-                if w in refused:
-                    return None
-                out.append([ident])
-            elif w in reserved:
-                out.append([c])
-            else:
-                out.append([c, soft])
-        elif kind == "op":
-            c = k.get(m[0])
-            if c is None:
+        token = _SQL_TOKEN.match(text, at)[0]
+        kind = of[token]
+        at += len(token)
+        if kind == -2:
+            if token == "/*":
+                depth = 1
+                while depth:
+                    e = _COMMENT_EDGE.search(text, at)
+                    if e is None:
+                        return None
+                    depth += 1 if e[0] == "/*" else -1
+                    at = e.end()
+                continue
+            at = text.find(token, at) + len(token)
+            if at < 2 * len(token):
                 return None
-            out.append([c])
-        elif kind == "string":
-            out.append([string])
-        elif kind == "quoted":
-            out.append([ident])
-        elif kind != "meta":
-            out.append([k[kind.upper()]])
-        at = end
+            kind = of.grammar.kinds["DOLLAR"]
+        out.append(kind)
     return out
 
 
-_JSON_TOKEN = re.compile(r'[ \t\r\n]*(?:("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?(?![\w.]))|(true|false|null)\b|([{}\[\],:])|\Z)', re.A)
+_JSON_TOKEN = re.compile(r'[ \t\r\n]*+("(?:[^"\\\x00-\x1f]++|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+"|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?(?![\w.])|(?:true|false|null)\b|[{}\[\],:]|.|\Z)', re.A | re.S)
 
 
-def json_tokens(text: str) -> list[list[int]] | None:
+def json_tokens(text: str) -> list[int] | None:
     k = json_grammar().kinds
-    out, at, n = [], 0, len(text)
-    while at < n:
-        m = _JSON_TOKEN.match(text, at)
-        if m is None:
-            return None
-        at = m.end()
-        if m.lastindex == 1:
-            out.append([k["STRING"]])
-        elif m.lastindex == 2:
-            out.append([k["NUMBER"]])
-        elif m.lastindex:
-            out.append([k[m[m.lastindex]]])
-    return out
+    string, number, out = k["STRING"], k["NUMBER"], []
+    for token in _JSON_TOKEN.findall(text):
+        first = token[:1]
+        if first == '"' and len(token) > 1:
+            out.append(string)
+        elif first.isdecimal() or first == "-" and len(token) > 1:
+            out.append(number)
+        elif token:
+            out.append(k.get(token, -1))
+    return None if -1 in out else out
 
 
 _XML_NAME = r"[A-Za-z_:À-\U000effff][\w:.\-·]*"
-_XML_REF = re.compile(r"&(?!(?:lt|gt|amp|apos|quot|#\d+|#x[0-9a-fA-F]+);)")
+XML_ENTITIES = {"lt", "gt", "amp", "apos", "quot"}
+_XML_REF = re.compile(rf"&(?:(#\d+|#x[0-9a-fA-F]+|{_XML_NAME});)?")
+_XML_ENTITY = re.compile(rf"<!ENTITY\s+({_XML_NAME})\s")
 _XML_BAD = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\ud800-\udfff￾￿]")
 _XML_TOKEN = re.compile(
     rf"""(?P<comment><!--(?:(?!--).)*-->)
   |(?P<cdata><!\[CDATA\[.*?\]\]>)
-  |(?P<declaration><\?xml\s+version\s*=\s*(?:"1\.\d"|'1\.\d')(?:\s+encoding\s*=\s*(?:"[\w.\-]+"|'[\w.\-]+'))?(?:\s+standalone\s*=\s*(?:"(?:yes|no)"|'(?:yes|no)'))?\s*\?>)
+  |(?P<declaration><\?xml\s+version\s*=\s*(?:"[\w.\-]+"|'[\w.\-]+')(?:\s+encoding\s*=\s*(?:"[\w.\-]+"|'[\w.\-]+'))?(?:\s+standalone\s*=\s*(?:"(?:yes|no)"|'(?:yes|no)'))?\s*\?>)
   |(?P<instruction><\?(?!xml[\s?])(?:{_XML_NAME})(?:\s.*?)?\?>)
   |(?P<doctype><!DOCTYPE\s+(?:{_XML_NAME})(?:\s+(?:SYSTEM|PUBLIC\s+(?:"[^"]*"|'[^']*'))\s+(?:"[^"]*"|'[^']*'))?\s*(?:\[(?:\s|<!--(?:(?!--).)*-->|<\?(?!xml[\s?])(?:{_XML_NAME})(?:\s.*?)?\?>|<!(?:ENTITY|ELEMENT|ATTLIST|NOTATION)\s+(?:%\s+)?(?:{_XML_NAME})\s(?:"[^"]*"|'[^']*'|[^<>"'])*>|%(?:{_XML_NAME});)*\]\s*)?>)
   |(?P<close></(?P<closed>{_XML_NAME})\s*>)
@@ -436,16 +460,17 @@ _XML_TOKEN = re.compile(
 _XML_ATTRIBUTE = re.compile(rf"({_XML_NAME})\s*=\s*(\"[^\"]*\"|'[^']*')")
 
 
-def xml_tokens(text: str) -> tuple[int, list[list[str]]] | None:
-    """(number of element names, kinds of the tokens)."""
+def xml_tokens(text: str) -> list[int] | None:
+    """Kinds of the tokens; None also where an end tag has another name than its start tag."""
+    k = xml_grammar().kinds
     if _XML_BAD.search(text):
         return None
     if text.startswith("﻿"):
         text = text[1:]
-    names: dict[str, int] = {}
-    out: list[list[str]] = []
+    opened: list[str] = []
+    out: list[int] = []
     at, n = 0, len(text)
-    doctype = "<!DOCTYPE" in text
+    declared: set[str] | None = set()
     while at < n:
         m = _XML_TOKEN.match(text, at)
         if m is None:
@@ -453,49 +478,66 @@ def xml_tokens(text: str) -> tuple[int, list[list[str]]] | None:
         if m["open"] is not None:
             seen = set()
             for a in _XML_ATTRIBUTE.finditer(m["attributes"]):
-                if a[1] in seen or (not doctype and _XML_REF.search(a[2])):
+                if a[1] in seen or "&" in a[2] and not _references(a[2], declared):
                     return None
                 seen.add(a[1])
-            out.append(["EMPTY" if m["empty"] else f"<{names.setdefault(m['opened'], len(names))}"])
+            out.append(k["EMPTY" if m["empty"] else "OPEN"])
+            if not m["empty"]:
+                opened.append(m["opened"])
         elif m["close"] is not None:
-            out.append([f"</{names.setdefault(m['closed'], len(names))}"])
+            if not opened or opened.pop() != m["closed"]:
+                return None
+            out.append(k["CLOSE"])
         elif m["text"] is not None:
             t = m["text"]
-            if "]]>" in t or (not doctype and _XML_REF.search(t)):
+            if "]]>" in t or "&" in t and not _references(t, declared):
                 return None
-            out.append(["TEXT" if t.strip(" \t\r\n") else "BLANK"])
+            out.append(k["TEXT" if t.strip(" \t\r\n") else "BLANK"])
         else:
             kind = m.lastgroup.upper()
             if kind == "DECLARATION" and at:
                 return None
-            out.append([kind])
+            if kind == "DOCTYPE":
+                # What an outer subset or a parameter entity declares is not known.
+                outer = re.search(r"^<!DOCTYPE\s+\S+\s+(?:SYSTEM|PUBLIC)|%[^\s%;]+;", m[0])
+                declared = None if outer else set(_XML_ENTITY.findall(m[0]))
+            out.append(k[kind])
         at = m.end()
-    return len(names), out
+    return out
+
+
+def _references(text: str, declared: set[str] | None) -> bool:
+    """Whether each & begins a reference, and, unless declared is None, to what is declared."""
+    for m in _XML_REF.finditer(text):
+        if m[1] is None or m[1] not in XML_ENTITIES and declared is not None and m[1] not in declared and m[1][0] != "#":
+            return False
+    return True
 
 
 _PY_SKIP = {tokenize.COMMENT, tokenize.NL, tokenize.ENCODING, tokenize.ENDMARKER, tokenize.TYPE_COMMENT}
 _PY_AUGMENT = {"+=", "-=", "*=", "/=", "//=", "%=", "@=", "&=", "|=", "^=", ">>=", "<<=", "**="}
 
 
-def python_tokens(text: str) -> list[list[int]] | None:
+def python_tokens(text: str) -> list[int] | None:
     k = python_grammar().kinds
     if "\x00" in text:
         return None
-    out = []
+    out: list[int] = []
+    of = {n: k.get(tokenize.tok_name[n], -1) for n in tokenize.tok_name}
+    name, operator = k["NAME"], k["OPERATOR"]
+    add = out.append
     try:
         for t in tokenize.generate_tokens(io.StringIO(text.removeprefix("﻿")).readline):
-            if t.type in _PY_SKIP:
+            kind, string = t[0], t[1]
+            if kind in _PY_SKIP:
                 continue
-            if t.type == tokenize.NAME:
-                c = k.get(t.string) if t.string != "_" else k["_"]
-                out.append([c if c is not None and not t.string.isupper() else k["NAME"]])
-            elif t.type == tokenize.OP:
-                c = k.get(t.string)
-                out.append([c if c is not None else k["AUGMENT"] if t.string in _PY_AUGMENT else k["OPERATOR"]])
-            elif t.type == tokenize.ERRORTOKEN:
-                return None
+            if kind == tokenize.NAME:
+                add(name if string.isupper() else k.get(string, name))
+            elif kind == tokenize.OP:
+                c = k.get(string)
+                add(c if c is not None else k["AUGMENT"] if string in _PY_AUGMENT else operator)
             else:
-                out.append([k[tokenize.tok_name[t.type]]])
-    except (tokenize.TokenError, SyntaxError, IndentationError, KeyError):
+                add(of[kind])
+    except (tokenize.TokenError, SyntaxError, IndentationError):
         return None
-    return out
+    return None if -1 in out else out

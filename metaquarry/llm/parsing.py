@@ -2,23 +2,18 @@
 
 Every file is read by the generalised LL recogniser under the grammar of its language; for SQL
 the rules of three dialects run together on one stack. A file is flagged if no way through any of
-them reaches its end. For Python, JSON and XML the flag is confirmed by the exact reader of the
-language, so that a construct missing in a grammar does not flag a sound file."""
+them reaches its end."""
 
 from __future__ import annotations
 
-import ast
-import json
-import warnings
 from collections.abc import Iterator
-from xml.parsers import expat
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metaquarry.llm import grammars
-from metaquarry.session import spread
+from metaquarry.session import tasks_for
 
 LANGUAGES = ("sql", "py", "json", "xml")
 
@@ -29,60 +24,33 @@ def language(path: Column | str) -> Column:
     return F.when(ext.isin(*LANGUAGES), ext)
 
 
+READERS = {"sql": (grammars.sql_tokens, grammars.sql_grammar), "py": (grammars.python_tokens, grammars.python_grammar), "json": (grammars.json_tokens, grammars.json_grammar), "xml": (grammars.xml_tokens, grammars.xml_grammar)}
+
+
 def recognised(kind: str, text: str) -> bool:
     """Whether the recogniser finds a parse of the whole text."""
-    if kind == "xml":
-        read = grammars.xml_tokens(text)
-        if read is None:
-            return False
-        grammar = grammars.xml_grammar(read[0])
-        return all(t[0] in grammar.kinds for t in read[1]) and grammar.accepts([[grammar.kinds[t[0]]] for t in read[1]])[0]
-    read, grammar = {"sql": (grammars.sql_tokens, grammars.sql_grammar), "py": (grammars.python_tokens, grammars.python_grammar), "json": (grammars.json_tokens, grammars.json_grammar)}[kind]
+    read, grammar = READERS[kind]
     tokens = read(text)
     return tokens is not None and grammar().accepts(tokens)[0]
 
 
-def _no_constant(name: str) -> None:
-    raise ValueError(name)
-
-
-def confirmed(kind: str, text: str) -> bool:
-    """Whether the exact reader of the language refuses the text, too."""
-    try:
-        if kind == "py":
-            with warnings.catch_warnings():
-                warnings.simplefilter("ignore")
-                ast.parse(text)
-        elif kind == "json":
-            json.loads(text, parse_constant=_no_constant)
-        elif kind == "xml":
-            expat.ParserCreate("utf-8").Parse(text.encode("utf-8"), True)
-        else:
-            return True
-    except (SyntaxError, ValueError, RecursionError, MemoryError, expat.ExpatError):
-        return True
-    return False
-
-
 def verdicts(files: DataFrame) -> DataFrame:
     """(file_id, system_name, language, broken), one row per file with content in a language.
 
     Repeated rows of a file count once. Null content, null ids and other extensions are no case.
     Empty SQL and Python files are sound, empty JSON and XML ones are not. Files are spread evenly
     over the tasks, as reading them costs more than moving them."""
-    spark = files.sparkSession
     f = files.select("file_id", "system_name", language("relative_path").alias("language"), "content").where("file_id is not null and language is not null and content is not null")
-    parts = max(spark.sparkContext.defaultParallelism * 4, spread(spark, f.count(), 20_000))
     kind = files.schema["file_id"].dataType.simpleString()
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            broken = [not recognised(k, t) and confirmed(k, t) for k, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            broken = [not recognised(k, t) for k, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(broken, pa.bool_())], names=["file_id", "system_name", "language", "broken"])
 
     # Rows are dealt out evenly, so copies of one file do not meet in a task; their equal verdicts
     # are combined before the small shuffle.
-    judged = f.repartition(parts).mapInArrow(judge, f"file_id {kind}, system_name string, language string, broken boolean")
+    judged = f.repartition(tasks_for(f)).mapInArrow(judge, f"file_id {kind}, system_name string, language string, broken boolean")
     return judged.groupBy("file_id").agg(F.min("system_name").alias("system_name"), F.min("language").alias("language"), F.bool_or("broken").alias("broken"))
 
 
