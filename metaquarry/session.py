@@ -72,13 +72,15 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def tasks_for(df: DataFrame) -> int:
-    """A number of tasks for costly work on the rows of df, without reading them: one for each
-    spark.sql.files.maxPartitionBytes of the planner's estimate of their size, and two or more a core."""
-    spark = df.sparkSession
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    per = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    return max(2 * spark.sparkContext.defaultParallelism, min(-(-size // per), MOST_TASKS))
+def tasks_for(scan: DataFrame) -> int:
+    """A number of tasks for costly work on the rows of a scan, without reading them: one for each
+    spark.sql.files.maxPartitionBytes of the planner's estimate of their size, two a core at least.
+    Rows made in the driver have no such estimate and get the shuffle partitions."""
+    spark = scan.sparkSession
+    size = int(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    per = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    wanted = -(-size // per) if size < 1 << 60 else int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(2 * spark.sparkContext.defaultParallelism, min(wanted, MOST_TASKS))
 
 
 def spread(spark: SparkSession, rows: int, per: int = 250_000) -> int:
