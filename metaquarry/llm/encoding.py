@@ -3,7 +3,8 @@
 A best-first search goes over the texts that encoding with one code, decoding with another, and
 unescaping can reach from a suspicious word. States are visited once, by their hash; a cost of
 how plausible the characters are side by side orders the search and picks its result, the
-cheapest text reached. Words without any doubtful character are not searched."""
+cheapest text reached. Words without any doubtful character are not searched, and each different
+word of a table is searched once."""
 
 from __future__ import annotations
 
@@ -19,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_STATES = 100
+from metaquarry.session import BROADCAST_ROWS, cut, tasks_for
+
 STEP_COST, RARE_COST, UTF8_COST = 0.6, 0.15, 0.1
 SUSPICIOUS, GAIN = 0.7, 0.6
 # The cost a character at which a word is searched as a whole, the cost that makes
 # a character part of a spot, how far a spot reaches beyond its costly characters, and the letters
 # it needs to be read in a code other than UTF-8.
 LONG_SHARE, NOTABLE, NEAR, FARTHEST, LETTERS = 0.04, 0.3, 4, 64, 3
-UTF8_FIRST = 6.0
 
 # The codes in which texts are read wrongly, and those in which they were written.
 SINGLE = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "koi8-r", "cp866", "cp1254", "cp1253")
@@ -34,7 +35,12 @@ DOUBLE = ("gb18030", "cp950", "cp932", "cp949")
 LEGACY = ("cp1251", "cp1250", "cp1252", "cp950", "gbk", "cp932", "koi8-r", "cp866", "cp850", "cp437", "mac_roman", "cp949")
 READ_AS = ("cp1252", "latin-1", "cp1251", "cp1250", "gbk", "utf-8")
 COMMON = ("cp1252", "cp1250", "cp1251", "cp950", "gbk", "cp932")
-OPERATIONS = [(a, "utf-8") for a in (*SINGLE, *DOUBLE)] + [(a, b) for a in ("cp1252", "latin-1", "cp1251", "cp1250", "gbk", "cp950", "cp932", "koi8-r", "cp866", "cp850", "cp437", "mac_roman") for b in LEGACY if a != b and {a, b} != {"latin-1", "cp1252"}]
+AS_UTF8 = (*SINGLE, *DOUBLE)
+AS_LEGACY = {a: [b for b in LEGACY if a != b and {a, b} != {"latin-1", "cp1252"}] for a in ("cp1252", "latin-1", "cp1251", "cp1250", "gbk", "cp950", "cp932", "koi8-r", "cp866", "cp850", "cp437", "mac_roman")}
+# A word whose cost is above this pays its steps but those to UTF-8 in proportion to its cost, so
+# that no way with more than two of them can pay off, however long the word. Steps to UTF-8 make
+# a text shorter each time.
+FULL_PRICE = 2.4
 
 _RUN = re.compile("[^\x00-\x7f]+")
 _CJK = re.compile("([\u3000-\u9fff\uac00-\ud7a3\uff00-\uff60\U00020000-\U0003ffff]+)")
@@ -48,14 +54,19 @@ AFTER = set("’‘”“»›…–—‐‑™®²³ªº°′″·´，。、
 # The replacement character, and it and the byte order mark read as a single-byte code.
 MARKS = ("�", "ï¿½", "ï»¿")
 PLAIN = set("’‘“”„‚–—…«»‹›•€°→≤≥≠")
+# The cost of a letter of another script among its own kind, and where such begin.
+OWN_SCRIPT, FIRST_SCRIPT = 0.02, 0x530
 QUOTES_OPEN = set("“‘„‚«‹「『（《〈【")
 
 
 def _to_bytes(text: str, code: str) -> bytes:
     """Encodes; where a single-byte code leaves positions free, they stand for the C1 characters."""
-    if code in ("cp1252", "cp1250", "cp1254", "cp1253"):
+    try:
+        return text.encode(code)
+    except UnicodeError:
+        if code not in ("cp1252", "cp1250", "cp1254", "cp1253"):
+            raise
         return b"".join(bytes([ord(c)]) if 0x80 <= ord(c) <= 0x9F else c.encode(code) for c in text)
-    return text.encode(code)
 
 
 def _from_byte(b: int, code: str) -> str:
@@ -190,9 +201,18 @@ def cost(text: str) -> float:
     return sum(costs(text))
 
 
-def costs(text: str) -> list[float]:
+def cost_up_to(text: str, most: float) -> float:
+    """The cost if it is below `most`, else some sum of at least that."""
+    total = 0.0
+    for c in costs(text):
+        total += c
+        if total >= most:
+            break
+    return total
+
+
+def costs(text: str) -> Iterator[float]:
     """The share of each character in the cost of a word."""
-    out = []
     kinds = [traits(c) for c in text]
     latin_run = 0
     n = len(text)
@@ -200,7 +220,7 @@ def costs(text: str) -> list[float]:
         k, total = kinds[i]
         if k in "a0. " and c != "\xa0":
             latin_run = 0
-            out.append(total)
+            yield total
             continue
         p = text[i - 1] if i else " "
         pk = kinds[i - 1][0] if i else " "
@@ -233,6 +253,9 @@ def costs(text: str) -> list[float]:
                 total += 0.8
             if nk in "lc" or text[i + 1 : i + 2].islower():
                 total += 0.8
+        elif k == "x":
+            if i and pk == "x" and ord(p) >> 8 == ord(c) >> 8 or nk == "x" and ord(text[i + 1]) >> 8 == ord(c) >> 8:
+                total = OWN_SCRIPT if ord(c) >= FIRST_SCRIPT else total
         elif k == "o":
             if pk in "alc" or nk in "alc":
                 total += 0.8
@@ -261,8 +284,7 @@ def costs(text: str) -> list[float]:
                 total += 0.6
         elif k == " " and p in ("Ã", "Â") and not text[max(i - 2, 0) : i - 1].isupper():
             total += 1.6
-        out.append(total)
-    return out
+        yield total
 
 
 @lru_cache(maxsize=200_000)
@@ -353,95 +375,183 @@ def _restore_spots(word: str) -> tuple[str, tuple[tuple[str, str], ...]]:
     return "".join(out) + word[done:], first
 
 
+def steps(text: str, price: float, bound: float) -> Iterator[tuple[tuple[str, str], float, str]]:
+    """(operation, what it costs, text it leads to) of all that cost less than bound."""
+    new = unescape(text)
+    if new is not None and STEP_COST * price < bound:
+        yield ("unescape", ""), step_cost(("unescape", "")) * price, new
+    if text.isascii():
+        return
+    if UTF8_COST < bound:
+        for a in AS_UTF8:
+            new = apply(text, a, "utf-8")
+            if new is not None:
+                yield (a, "utf-8"), UTF8_COST, new
+    for a, codes in AS_LEGACY.items():
+        if STEP_COST * price >= bound:
+            break
+        try:
+            raw = _to_bytes(text, a)
+        except UnicodeError:
+            continue
+        for b in codes:
+            paid = step_cost((a, b)) * price
+            if paid < bound:
+                try:
+                    yield (a, b), paid, raw.decode(b)
+                except UnicodeError:
+                    continue
+
+
 @lru_cache(maxsize=200_000)
 def search(word: str) -> tuple[str, tuple[tuple[str, str], ...], float]:
     """(cheapest text, the operations that lead there, what is gained by them); no operations
-    where nothing better enough is reached. The search ends when no queued text can become cheaper
-    than the best one by what its steps cost already, or after MOST_STATES texts."""
+    where nothing better enough is reached. Texts are taken up cheapest first. The search ends
+    when no queued text can become cheaper than the best one by what its steps cost already, so
+    its result is exact; there is no limit to the texts it may visit but that cost."""
     begin = cost(word)
     if begin < SUSPICIOUS:
         return word, (), 0.0
+    price = max(1.0, begin / FULL_PRICE)
     best, best_cost, best_path = word, begin, ()
     bound = min(begin - GAIN, 0.6 * begin) + 1e-9
     heap: list[tuple[float, int, str, tuple, float]] = [(begin, 0, word, (), 0.0)]
-    visited = {hash(word)}
-    states = 0
-    while heap and states < MOST_STATES:
+    count = 0
+    visited = {hash(word): 0.0}  # of each text the least its steps have cost
+    while heap:
         _, _, text, path, spent = heapq.heappop(heap)
-        if spent + UTF8_COST >= bound:
+        if spent > visited[hash(text)]:
             continue
-        states += 1
-        wide = any(ord(c) > 127 for c in text)
-        for op in (*OPERATIONS, ("unescape", "")):
+        for op, price_of, new in steps(text, price, bound - spent):
+            paid = spent + price_of
             # Nothing that is reached by this step can be cheaper than its steps.
-            paid = spent + step_cost(op)
-            if paid >= bound or not wide and op[0] != "unescape":
+            if paid >= min(bound, visited.get(hash(new), bound)):
                 continue
-            new = unescape(text) if op[0] == "unescape" else apply(text, *op)
-            if new is None or new == text or hash(new) in visited:
-                continue
-            visited.add(hash(new))
-            c = cost(new) + paid
+            visited[hash(new)] = paid
+            c = paid + cost_up_to(new, bound - paid)
             if c < best_cost:
                 best, best_cost, best_path = new, c, (*path, op)
                 bound = min(bound, c)
-            heapq.heappush(heap, (c - UTF8_FIRST * sum(b == "utf-8" for _, b in (*path, op)), len(visited), new, (*path, op), paid))
+            if paid + UTF8_COST < bound:
+                count += 1
+                heapq.heappush(heap, (c, count, new, (*path, op), paid))
     decoded = any(op[0] != "unescape" for op in best_path)
     if decoded and begin - best_cost >= GAIN and best_cost <= 0.6 * begin:
         return best, best_path, begin - best_cost
     return word, (), 0.0
 
 
-def restore(text: str) -> tuple[str, bool]:
+Found = dict[str, tuple[str, tuple[tuple[str, str], ...]]]
+
+
+def restore(text: str, found: Found | None = None) -> tuple[str, bool]:
     """(the text with its garbled words restored, whether any is garbled).
 
-    Words of a line that the search leaves alone are read again in the way of their neighbours if
-    that does not make them less plausible, so short words follow the long ones."""
+    found has the garbled words with what they become and by which operations; if it is not given,
+    each word is searched here. Words of a line that the search leaves alone are read again in the
+    way of their neighbours if that does not make them less plausible, so short words follow the
+    long ones."""
     if not _RUN.search(text) and not _ESCAPED.search(text):
         return text, False
     out, garbled = [], False
     for line in re.split("(\n)", text):
+        if line.isascii() and "&" not in line and "\\" not in line and "%" not in line:
+            out.append(line)
+            continue
         words = _SPACE.split(line)
         ways: Counter = Counter()
+        alone = []
         for i, w in enumerate(words):
             if _RUN.search(w) or _ESCAPED.search(w):
-                new, path, bad = restore_word(w)
+                if found is None:
+                    new, path, bad = restore_word(w)
+                else:
+                    bad = w in found
+                    new, path = found.get(w, (w, ()))
                 garbled |= bad
                 if path:
                     ways[path] += 1
                     words[i] = new
+                elif not w.isascii():
+                    alone.append(i)
         if ways:
-            way = ways.most_common(1)[0][0]
-            for i, w in enumerate(words):
-                if _RUN.search(w) and not restore_word(w)[1] and w == _SPACE.split(line)[i]:
-                    new: str | None = w
-                    for op in way:
-                        new = new and (unescape(new) if op[0] == "unescape" else apply(new, *op))
-                    if new and cost(new) <= cost(w) + 0.1:
-                        words[i] = new
+            way = min(ways, key=lambda x: (-ways[x], x))
+            for i in alone:
+                new: str | None = words[i]
+                for op in way:
+                    new = new and (unescape(new) if op[0] == "unescape" else apply(new, *op))
+                if new and cost(new) <= cost(words[i]) + 0.1:
+                    words[i] = new
         out.append("".join(words))
     return "".join(out), garbled
 
 
+# Words that cost nothing: lower case letters of Western Europe, three of them nowhere side by
+# side, among ASCII; Cyrillic words, in capitals, small letters or with a first capital.
+_OTHER = "[\\x00-@\\[-`{-\\x7f]"
+PLAIN_WORD = f"^(?:(?:[\\x00-\\x7f]++|[ß-öø-ÿ](?![ß-öø-ÿ]{{2}}))*+|{_OTHER}*+(?:[А-ЯЁ]*+[а-яё]*+{_OTHER}++)*+[А-ЯЁ]*+[а-яё]*+)$"
+BLANKS = "[ \\t\\r\\n\\f\\x0B]+"
+DOUBTFUL = "[^\\x00-\\x7f]|&#?\\w+;|\\\\[ux][0-9a-fA-F]{2}|%[89A-Fa-f][0-9A-Fa-f]%"
+ESCAPE = "&#?\\w+;|\\\\[ux][0-9a-fA-F]{2}|%[89A-Fa-f][0-9A-Fa-f]%"
+SALTS = 16
+
+
+def garbled_words(rows: DataFrame) -> DataFrame:
+    """(record_key, text, word, becomes, ways) of each garbled word of the rows (record_key, text),
+    once for each row it is in.
+
+    Each different word is searched once: words are combined before the shuffle and dealt out
+    evenly. Their verdicts go back to the rows by a broadcast if they are few, else by a join that
+    is salted by the row, so a word that a third of the rows hold is not one task."""
+    words = F.filter(F.array_distinct(F.split("text", BLANKS)), lambda w: w.rlike(DOUBTFUL) & (w.rlike(ESCAPE) | ~w.rlike(PLAIN_WORD)))
+    within = rows.select("record_key", "text", F.explode(words).alias("word"))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept, new, ways = [], [], []
+            for i, w in enumerate(b.column(0).to_pylist()):
+                best, path, bad = restore_word(w)
+                if bad:
+                    kept.append(i)
+                    new.append(best)
+                    ways.append([x for op in path for x in op])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(kept, pa.int64())), pa.array(new, pa.string()), pa.array(ways, pa.list_(pa.string()))], names=["word", "becomes", "ways"])
+
+    different = rows.select(F.explode(words).alias("word")).distinct().repartition(tasks_for(rows))
+    bad = cut(different.mapInArrow(look, "word string, becomes string, ways array<string>"))
+    if bad.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return within.join(F.broadcast(bad), "word")
+    salted = bad.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return within.withColumn("salt", F.pmod(F.xxhash64("record_key"), F.lit(SALTS)).cast("int")).join(salted, ["word", "salt"]).drop("salt")
+
+
+def doubtful_rows(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(record_key, text) of the rows that may be garbled: pure ASCII without escapes cannot be."""
+    return rows.select(F.col(key).cast("string").alias("record_key"), F.col(text).alias("text")).where("record_key is not null").where(F.col("text").rlike(DOUBTFUL))
+
+
+def garbled_keys(rows: DataFrame, key: str, text: str, name: str) -> DataFrame:
+    """(table_name, record_key) of the rows whose text is garbled, each key once. Null keys and
+    null or empty texts are no case."""
+    return garbled_words(doubtful_rows(rows, key, text)).select(F.lit(name).alias("table_name"), "record_key").distinct()
+
+
 def garbled_texts(rows: DataFrame, key: str, text: str, name: str) -> DataFrame:
     """(table_name, record_key, text, restored, is_complete) of the rows whose text is garbled.
 
     restored is the original as far as it can be reached; is_complete is false where marks of lost
     characters are left. Rows that repeat count once; null keys and null or empty texts are no
-    case, pure ASCII without escapes cannot be. Each different text is searched once per task."""
+    case."""
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def put_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kept, new = [], []
-            for i, t in enumerate(b.column(1).to_pylist()):
-                fixed, bad = restore(t)
-                if bad:
-                    kept.append(i)
-                    new.append(fixed)
-            at = pa.array(kept, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(new, pa.string())], names=["record_key", "text", "restored"])
-
-    r = rows.select(F.col(key).cast("string").alias("record_key"), F.col(text).alias("text")).where("record_key is not null").where(F.col("text").rlike("[^\\x00-\\x7f]|&#?\\w+;|\\\\[ux][0-9a-fA-F]{2}|%[89A-Fa-f][0-9A-Fa-f]%"))
-    parts = max(rows.sparkSession.sparkContext.defaultParallelism * 2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = r.repartition(parts).mapInArrow(search, "record_key string, text string, restored string").dropDuplicates(["record_key", "text"])
-    return found.select(F.lit(name).alias("table_name"), "record_key", "text", "restored", (~F.col("restored").contains("�")).alias("is_complete"))
+            new = []
+            for t, found in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                known = {x["word"]: (x["becomes"], tuple(zip(x["ways"][::2], x["ways"][1::2], strict=True))) for x in found}
+                new.append(restore(t, known)[0])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(new, pa.string())], names=["record_key", "text", "restored"])
+
+    # The words of one row: no more than its text holds.
+    found = garbled_words(doubtful_rows(rows, key, text)).groupBy("record_key", "text").agg(F.collect_set(F.struct("word", "becomes", "ways")).alias("found"))
+    new = found.mapInArrow(put_in, "record_key string, text string, restored string")
+    return new.select(F.lit(name).alias("table_name"), "record_key", "text", "restored", (~F.col("restored").contains("�")).alias("is_complete"))

@@ -14,7 +14,8 @@ def p3_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return p3_restored(spark, d).select("table_name", "record_key").distinct()
+    objects = encoding.garbled_keys(table(spark, d, "emip_object"), "object_id", "description", "emip_object")
+    return objects.unionByName(encoding.garbled_keys(table(spark, d, "failed_file"), "failure_id", "error_type", "failed_file"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 
 from conftest import rows
@@ -65,6 +68,46 @@ def test_spots_in_long_unbroken_text(n):
         assert E.restore(zh + garble(TEXTS["zh"], right, wrong) + zh) == (zh + TEXTS["zh"] + zh, True)
 
 
+OTHERS = {"ar": "العميل غير موجود في النظام اليوم", "he": "הלקוח אינו קיים במערכת היום", "th": "ไม่พบลูกค้าในระบบวันนี้", "hi": "ग्राहक आज सिस्टम में नहीं मिला", "el": "Ο πελάτης δεν βρέθηκε στο σύστημα", "ko": "고객을 시스템에서 찾을 수 없습니다", "hy": "Հաճախորդը չի գտնվել"}
+
+
+@pytest.mark.parametrize("k", list(OTHERS))
+def test_other_scripts(k):
+    assert E.restore(OTHERS[k]) == (OTHERS[k], False)
+    for wrong in ("cp1252", "latin-1"):
+        assert E.restore(garble(OTHERS[k], "utf-8", wrong)) == (OTHERS[k], True)
+
+
+def test_the_search_ends_on_any_text():
+    r = random.Random(3)
+    for _ in range(60):
+        w = "".join(chr(r.choice([r.randint(0x80, 0x24F), r.randint(0x400, 0x4FF), r.randint(0x2000, 0x2600), r.randint(0x4E00, 0x9FFF)])) for _ in range(r.choice([5, 20, 60])))
+        E.restore(w)
+
+
+def test_words_that_are_not_searched_cost_nothing():
+    r = random.Random(4)
+    plain = re.compile(E.PLAIN_WORD)
+    words = ["".join(r.choice("aZ9-./_%(éüßñçÉÃÂ¤©ЖДжаеё ёя日あ’…") for _ in range(r.randint(1, 7))).replace(" ", "") for _ in range(20_000)]
+    met = [w for w in words if plain.match(w)]
+    assert len(met) > 500 and {w for w in met if E.cost(w) > 0 or E.restore_word(w)[2]} == set()
+
+
+def test_the_table_gives_what_each_text_gives_by_itself(spark):
+    r = random.Random(5)
+    parts = [*TEXTS.values(), *[garble(TEXTS[k], right, wrong) for k, right, wrong in WRONG], "plain ascii", "a\tb\x0bc\nd", "x\ufffd", "Fran&Atilde;&sect;ais", "&eacute;"]
+    data = [(str(i), r.choice([" ", "\n", "\t"]).join(r.choices(parts, k=r.randint(1, 4)))) for i in range(150)]
+    df = spark.createDataFrame(data, "k string, t string")
+    want = sorted((k, t, E.restore(t)[0]) for k, t in data if E.restore(t)[1])
+    assert rows(E.garbled_texts(df, "k", "t", "n").select("record_key", "text", "restored")) == want
+    assert rows(E.garbled_keys(df, "k", "t", "n")) == sorted(("n", k) for k, _, _ in want)
+    E.BROADCAST_ROWS, old = 0, E.BROADCAST_ROWS
+    try:
+        assert rows(E.garbled_keys(df, "k", "t", "n")) == sorted(("n", k) for k, _, _ in want)
+    finally:
+        E.BROADCAST_ROWS = old
+
+
 def test_lost_characters_and_marks():
     for t in ("pr�ft", "ï¿½", "ï»¿SELECT"):
         assert E.restore(t)[1]
