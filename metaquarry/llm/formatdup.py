@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metaquarry.session import cut
+from metaquarry.session import cut, small
+
+BLOCK = 1000  # ids in a block of a set whose pairs are formed
 
 NOT_WORD = "[^\\p{L}\\p{N}]+"
 # A label, then = or => or a single colon.
@@ -52,26 +54,54 @@ def collided(records: DataFrame) -> DataFrame:
     return g.where(" or ".join(f"lo{i} <> hi{i}" for i in range(3))).select("h1", "h2")
 
 
+def counted_ids(objects: DataFrame) -> DataFrame:
+    """(h1, h2, text, object_id, n, often): each id of each canonical text with the number of its
+    rows, and whether it has more than one text. The hash stands for the text; only where two texts
+    share one, the text is part of the key."""
+    r = cut(canonical_records(objects).groupBy("object_id", "canon", "h1", "h2").agg(F.count("*").alias("n")))
+    twice = cut(collided(r).withColumn("x", F.lit(True)))
+    often = cut(r.groupBy("object_id").count().where("count > 1").select("object_id", F.lit(True).alias("y")))
+    marked = r.join(small(twice), ["h1", "h2"], "left").join(small(often), "object_id", "left")
+    return marked.select("h1", "h2", F.when(F.col("x"), F.col("canon")).otherwise("").alias("text"), "object_id", "n", F.coalesce("y", F.lit(False)).alias("often"))
+
+
+def counted_sets(ids: DataFrame) -> DataFrame:
+    """(h1, h2, text, first_id, n_copies, n_rows) of each set of equal canonical texts."""
+    return ids.groupBy("h1", "h2", "text").agg(F.min("object_id").alias("first_id"), F.count("*").alias("n_copies"), F.sum("n").alias("n_rows"))
+
+
 def collapse(objects: DataFrame) -> DataFrame:
     """(object_id, system_name, object_type, qualified_name, name, n_copies, n_rows): each set of
     records that differ in formatting only as its record with the smallest id, with the number of
     its different ids and of its rows. Records with a null in the id or a compared column are no
     case; empty names are equal to names of punctuation only."""
-    r = cut(canonical_records(objects))
-    twice = collided(r).withColumn("x", F.lit(True))
-    # Only under a collision the text is part of the key.
-    keyed = r.join(twice, ["h1", "h2"], "left").withColumn("text", F.when(F.col("x"), F.col("canon")).otherwise(""))
-    ids = keyed.groupBy("h1", "h2", "text", "object_id").agg(F.count("*").alias("n"))
-    sets = ids.groupBy("h1", "h2", "text").agg(F.min("object_id").alias("object_id"), F.count("*").alias("n_copies"), F.sum("n").alias("n_rows"))
-    own = r.groupBy("object_id", "system_name", "object_type").agg(F.min("qualified_name").alias("qualified_name"), F.min("name").alias("name"))
-    return sets.select("object_id", "n_copies", "n_rows").join(own, "object_id").select("object_id", "system_name", "object_type", "qualified_name", "name", "n_copies", "n_rows")
-
-
-def duplicate_pairs(objects: DataFrame) -> DataFrame:
-    """(object_id_a, object_id_b): the pairs of different ids of one set, the smaller first. Only
-    ids in sets of two or more are joined; equal hashes are confirmed on the canonical texts."""
-    r = cut(canonical_records(objects).select("object_id", "canon", "h1", "h2").dropDuplicates(["object_id", "h1", "h2"]))
-    more = r.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    m = r.join(more, ["h1", "h2"], "left_semi")
-    a, b = m.select(F.col("object_id").alias("object_id_a"), "canon", "h1", "h2"), m.select(F.col("object_id").alias("object_id_b"), F.col("canon").alias("canon_b"), "h1", "h2")
-    return a.join(b, ["h1", "h2"]).where("object_id_a < object_id_b and canon = canon_b").select("object_id_a", "object_id_b").distinct()
+    sets = counted_sets(counted_ids(objects))
+    complete = objects.where("system_name is not null and object_type is not null and name is not null and qualified_name is not null")
+    own = complete.groupBy("object_id", "system_name", "object_type").agg(F.min("qualified_name").alias("qualified_name"), F.min("name").alias("name"))
+    return sets.select(F.col("first_id").alias("object_id"), "n_copies", "n_rows").join(own, "object_id").select("object_id", "system_name", "object_type", "qualified_name", "name", "n_copies", "n_rows")
+
+
+def members(objects: DataFrame) -> DataFrame:
+    """(h1, h2, text, object_id, often, first_id, n_copies): each id in a set of two or more with the id
+    that stands for its set, as collapse counts them. AQE splits the side of the ids in this join
+    where one set holds very many."""
+    ids = counted_ids(objects)
+    return ids.drop("n").join(counted_sets(ids).where("n_copies > 1").drop("n_rows"), ["h1", "h2", "text"])
+
+
+def duplicate_pairs(objects: DataFrame, *, block: int = BLOCK) -> DataFrame:
+    """(object_id_a, object_id_b): the pairs of different ids of one set, the smaller first.
+
+    The ids of a set are dealt into blocks of about `block`, and each pair of blocks is a group of
+    its own, so no task gets all pairs of a large set. An object whose rows lie in two sets of the
+    same ids gives each pair once. Nulls as in collapse; no duplicates give no row."""
+    blocks = F.ceil(F.col("n_copies") / block)
+    m = members(objects).select("h1", "h2", "text", "object_id", "often", blocks.alias("of"), F.pmod(F.xxhash64("object_id", F.lit(7)), blocks).alias("at"))
+    key = ["h1", "h2", "text", "i", "j"]
+    a = m.select("h1", "h2", "text", F.col("object_id").alias("a"), F.col("often").alias("often_a"), F.col("at").alias("i"), F.explode(F.sequence("at", F.col("of") - 1)).alias("j"))
+    b = m.select("h1", "h2", "text", F.col("object_id").alias("b"), F.col("often").alias("often_b"), F.explode(F.sequence(F.lit(0).cast("long"), "at")).alias("i"), F.col("at").alias("j"))
+    pair = [F.least("a", "b").alias("object_id_a"), F.greatest("a", "b").alias("object_id_b")]
+    once = a.join(b, key).where("(i < j or a < b) and not (often_a and often_b)").select(pair)
+    # Only two objects that both have several texts can be a pair in more than one set.
+    again = a.where("often_a").join(b.where("often_b"), key).where("a <> b").select(pair).distinct()
+    return once.unionByName(again)

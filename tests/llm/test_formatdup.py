@@ -23,6 +23,14 @@ def test_pairs(spark):
     assert rows(D.duplicate_pairs(objects(spark, data + data[:3]))) == want
 
 
+def test_a_large_set_is_formed_in_blocks(spark):
+    ids = [f"{i:04d}" for i in range(137)]
+    data = [(i, "s", "TABLE", "a.b", "b") for i in ids] + [(i, "s", "TABLE", "a.c", "c") for i in ids[::9]]
+    assert rows(D.duplicate_pairs(objects(spark, data), block=10)) == list(combinations(ids, 2))
+    large = spark.range(10_000).select(F.lpad(F.col("id").cast("string"), 5, "0").alias("object_id"), *[F.lit(x).alias(n) for n, x in (("system_name", "s"), ("object_type", "t"), ("qualified_name", "a.b"), ("name", "b"))])
+    assert D.duplicate_pairs(large).count() == 10_000 * 9_999 // 2
+
+
 def test_collapsing_counts_ids_and_rows(spark):
     data = [("b", "s", "TABLE", "a.b", "b"), ("a", "s", "TABLE", "A.B", "B"), ("a", "s", "TABLE", "A.B", "B"), ("c", "s", "TABLE", "a.c", "c"), ("n", None, "TABLE", "a.b", "b"), (None, "s", "TABLE", "a.b", "b")]
     assert rows(D.collapse(objects(spark, data)).select("object_id", "qualified_name", "n_copies", "n_rows")) == [("a", "A.B", 2, 3), ("c", "a.c", 1, 1)]
