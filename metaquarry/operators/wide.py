@@ -7,18 +7,19 @@ are the columns laid side by side. No join per attribute and no map per entity i
 from __future__ import annotations
 
 from collections.abc import Iterator
-from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from metaquarry.session import cut, spread
+from metaquarry.session import cut, small, spread
 
 RANGE = 4096
 MOST_ATTRIBUTES = 10_000
+BUCKETS_SUMMED = 2048
 BLANKS = "(?U)^\\s+|\\s+$"
 
 # The words for the two truth values.
@@ -56,10 +57,8 @@ def canonical(value: Column, kind: str) -> Column:
 
 
 def _typed(texts: pa.Array, kind: str) -> pa.Array:
-    if kind in ("integer", "decimal"):
-        return pa.array([None if x is None else Decimal(x) for x in texts.to_pylist()], type=ARROW_TYPES[kind])
     if kind == "boolean":
-        return pa.array([None if x is None else x == "true" for x in texts.to_pylist()], type=pa.bool_())
+        return pc.equal(texts, "true")
     return texts.cast(pa.string()).cast(ARROW_TYPES[kind])
 
 
@@ -111,6 +110,15 @@ def attribute_types(types: DataFrame) -> list[tuple[str, str]]:
     return [(r["property_name"], r["k"] if r["k"] in SPARK_TYPES else "text") for r in rows]
 
 
+def bucket_starts(sizes: DataFrame, per: int = BUCKETS_SUMMED) -> DataFrame:
+    """(bucket, start): the sum of the sizes n of all buckets before each. Runs of `per` buckets are
+    summed side by side, and then the runs, so only one number a run passes through one task."""
+    runs = sizes.withColumn("run", F.floor(F.col("bucket") / per))
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tops = runs.groupBy("run").agg(F.sum("n").alias("n")).select("run", before("n", Window.orderBy("run")).alias("base"))
+    return runs.withColumn("inner", before("n", Window.partitionBy("run").orderBy("bucket"))).join(tops, "run").select("bucket", (F.col("base") + F.col("inner")).alias("start"))
+
+
 def wide_table(rows: DataFrame, types: DataFrame, *, entity: str = "object_id", size: int = RANGE) -> DataFrame:
     """One row (ordinal, entity, one typed column per attribute of `types`) per entity of `rows`.
 
@@ -145,15 +153,9 @@ def wide_table(rows: DataFrame, types: DataFrame, *, entity: str = "object_id",
     cells = cut(cells)
     buckets = spread(spark, cells.count())
     cells = cells.withColumn("bucket", F.pmod(F.xxhash64("_e"), F.lit(buckets)).cast("int"))
-    # One row per bucket: bounded by `buckets`.
-    sizes = {x["bucket"]: x["n"] for x in cells.groupBy("bucket").agg(F.count_distinct("_e").alias("n")).collect()}
-    starts, at = [], 0
-    for b in range(buckets):
-        starts.append(at)
-        at += sizes.get(b, 0)
-    offset = spark.createDataFrame(list(enumerate(starts)), "bucket int, start long")
+    starts = cut(bucket_starts(cells.groupBy("bucket").agg(F.count_distinct("_e").alias("n"))))
     placed = (
-        cells.join(F.broadcast(offset), "bucket")
+        cells.join(small(starts), "bucket")
         .withColumn("local", F.dense_rank().over(Window.partitionBy("bucket").orderBy("_e")).cast("long") - 1)
         .withColumn("ordinal", F.col("start") + F.col("local"))
         .withColumn("block", F.col("bucket").cast("long") * (1 << 32) + F.floor(F.col("local") / size))

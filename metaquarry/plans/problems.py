@@ -74,6 +74,14 @@ WITH v AS (
   SELECT object_id, property_name, value_text FROM c WHERE value_text IS NOT NULL AND object_id IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY object_id, property_name ORDER BY loaded_at DESC, value_text DESC) = 1
 )"""
+# The declared attributes and their types, as columns of the wide table.
+_WIDE = {
+    "decimal(38,0)": ("partition_count", "refresh_minutes", "retention_days", "row_count", "size_bytes"),
+    "decimal(38,2)": ("avg_row_length", "null_ratio", "storage_cost"),
+    "boolean": ("contains_dynamic_sql", "has_primary_key", "is_encrypted", "is_partitioned"),
+    "date": ("deployed_on", "expires_on", "last_analyzed"),
+    "varchar": ("charset", "data_steward", "database_name", "delimiter", "dynamic_sql_status", "encoding", "file_format", "language_version", "trigger_events", "trigger_timing", "trigger_update_columns"),
+}
 _TREE = """
 WITH RECURSIVE b AS (
   SELECT from_object_id f, to_object_id t, created_at FROM emip_relation WHERE upper(trim(relation_type)) = 'BELONGS_TO'
@@ -86,6 +94,10 @@ r AS (
 
 ORACLES = {
     "p1_found": _CELLS + " SELECT * FROM cells",
+    "p1_wide": _CELLS
+    + ", o AS (SELECT DISTINCT object_id FROM emip_property WHERE object_id IS NOT NULL) SELECT o.object_id, "
+    + ", ".join(f"CAST(max(value_text) FILTER (property_name = '{n}') AS {k}) AS {n}" for k, names in _WIDE.items() for n in names)
+    + " FROM o LEFT JOIN cells ON cells.object_id = o.object_id GROUP BY o.object_id",
     "p2_found": """
 WITH j AS (
   SELECT scan_job_id, min(system_name) system_name, min(started_at) started_at FROM scan_job WHERE upper(trim(status)) = 'SUCCESS' GROUP BY scan_job_id

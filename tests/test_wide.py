@@ -65,6 +65,15 @@ def test_typed_columns_over_many_ranges(spark):
         assert (r["row_count"], r["made_on"], r["ratio"]) == (i, date(2024, 1, 5) if i % 7 == 0 else None, Decimal("1.50") if i % 9 == 0 else None)
 
 
+def test_starts_of_buckets(spark):
+    sizes = [(b, (b * 7) % 5) for b in range(0, 100, 3)]
+    want, at = [], 0
+    for b, n in sizes:
+        want.append((b, at))
+        at += n
+    assert sorted(rows(W.bucket_starts(spark.createDataFrame(sizes[::-1], "bucket int, n long"), per=8))) == want
+
+
 def test_one_hot_entity(spark):
     data = [("hot", "row_count", str(i % 5), 1 + i % 28) for i in range(3000)] + [("cold", "note", "n", 1)]
     assert cells(spark, data) == [("cold", "note", "n"), ("hot", "row_count", "4")]
