@@ -15,11 +15,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from metaquarry.operators.prefix import before
 from metaquarry.session import cut, small, spread
 
 RANGE = 4096
 MOST_ATTRIBUTES = 10_000
-BUCKETS_SUMMED = 2048
 BLANKS = "(?U)^\\s+|\\s+$"
 
 # The words for the two truth values.
@@ -110,15 +110,6 @@ def attribute_types(types: DataFrame) -> list[tuple[str, str]]:
     return [(r["property_name"], r["k"] if r["k"] in SPARK_TYPES else "text") for r in rows]
 
 
-def bucket_starts(sizes: DataFrame, per: int = BUCKETS_SUMMED) -> DataFrame:
-    """(bucket, start): the sum of the sizes n of all buckets before each. Runs of `per` buckets are
-    summed side by side, and then the runs, so only one number a run passes through one task."""
-    runs = sizes.withColumn("run", F.floor(F.col("bucket") / per))
-    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    tops = runs.groupBy("run").agg(F.sum("n").alias("n")).select("run", before("n", Window.orderBy("run")).alias("base"))
-    return runs.withColumn("inner", before("n", Window.partitionBy("run").orderBy("bucket"))).join(tops, "run").select("bucket", (F.col("base") + F.col("inner")).alias("start"))
-
-
 def wide_table(rows: DataFrame, types: DataFrame, *, entity: str = "object_id", size: int = RANGE) -> DataFrame:
     """One row (ordinal, entity, one typed column per attribute of `types`) per entity of `rows`.
 
@@ -153,7 +144,8 @@ def wide_table(rows: DataFrame, types: DataFrame, *, entity: str = "object_id",
     cells = cut(cells)
     buckets = spread(spark, cells.count())
     cells = cells.withColumn("bucket", F.pmod(F.xxhash64("_e"), F.lit(buckets)).cast("int"))
-    starts = cut(bucket_starts(cells.groupBy("bucket").agg(F.count_distinct("_e").alias("n"))))
+    sizes = cells.groupBy("bucket").agg(F.count_distinct("_e").alias("n"))
+    starts = cut(before(sizes, n="sum").select("bucket", F.coalesce("n", F.lit(0)).alias("start")))
     placed = (
         cells.join(small(starts), "bucket")
         .withColumn("local", F.dense_rank().over(Window.partitionBy("bucket").orderBy("_e")).cast("long") - 1)

@@ -61,8 +61,9 @@ def test_random_forest_with_cycles(spark):
 def test_long_chain_and_hot_parent(spark):
     chain = [(f"c{i:04}", f"c{i - 1:04}", "BELONGS_TO", 1) for i in range(1, 300)]
     star = [(f"s{i:04}", "c0100", "BELONGS_TO", 1) for i in range(200)]
-    t = H.hierarchy(table(spark, chain + star))
-    got = {r["object_id"]: r for r in t.collect()}
+    got = {r["object_id"]: r for r in H.hierarchy(table(spark, chain + star)).collect()}
+    salted = {r["object_id"]: r for r in H.hierarchy(table(spark, chain + star), hot_rows=50).collect()}
+    assert salted == got
     assert got["c0299"]["depth"] == 299 and got["c0000"]["n_descendants"] == 499 and got["s0007"]["depth"] == 101
     assert sorted(r["lft"] for r in got.values()) == list(range(500))
 

@@ -3,6 +3,7 @@ from decimal import Decimal
 
 from conftest import rows
 from metaquarry.operators import wide as W
+from metaquarry.operators.prefix import before
 
 SCHEMA = "property_id string, object_id string, property_name string, property_value string, loaded_at timestamp, attr int, block string, ordinal int, canon string, bucket int, _t int"
 
@@ -65,13 +66,11 @@ def test_typed_columns_over_many_ranges(spark):
         assert (r["row_count"], r["made_on"], r["ratio"]) == (i, date(2024, 1, 5) if i % 7 == 0 else None, Decimal("1.50") if i % 9 == 0 else None)
 
 
-def test_starts_of_buckets(spark):
-    sizes = [(b, (b * 7) % 5) for b in range(0, 100, 3)]
-    want, at = [], 0
-    for b, n in sizes:
-        want.append((b, at))
-        at += n
-    assert sorted(rows(W.bucket_starts(spark.createDataFrame(sizes[::-1], "bucket int, n long"), per=8))) == want
+def test_values_before_each_bucket(spark):
+    sizes = [(b, (b * 7) % 5, (b * 11) % 50) for b in range(0, 100, 3)]
+    want = [(b, sum(n for c, n, _ in sizes if c < b) if b else None, max((m for c, _, m in sizes if c < b), default=None)) for b, _, _ in sizes]
+    got = before(spark.createDataFrame(sizes[::-1], "bucket int, n long, m long"), run=8, n="sum", m="max")
+    assert sorted(tuple(r) for r in got.collect()) == want
 
 
 def test_one_hot_entity(spark):
