@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from metaquarry.operators.prefix import numbered
 from metaquarry.session import cut
 
 UPSTREAM, DOWNSTREAM = "UPSTREAM", "DOWNSTREAM"
@@ -14,19 +15,6 @@ EDGE = ["relation_id", "from_object_id", "to_object_id", "relation_type", "sourc
 MOST_IN_WINDOW = 1_000_000
 
 
-def numbered(df: DataFrame, group: str, *order: str) -> DataFrame:
-    """Adds number, 1, 2, ... within each group in the given order, which must be total. Rows are
-    sorted into ranges, and the ranges' sizes are summed up, so no group has to fit into a task."""
-    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = cut(df.repartitionByRange(parts, group, *order).sortWithinPartitions(group, *order).withColumn("_i", F.monotonically_increasing_id()))
-    part, place = F.shiftright("_i", 33), F.col("_i").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = ranged.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
-    starts = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_s"))  # one row per range
-    at = ranged.withColumn("_p", part).join(F.broadcast(starts), "_p").withColumn("_g", F.col("_s") + place)
-    first = at.groupBy(group).agg(F.min("_g").alias("_f"))
-    return at.join(first, group).withColumn("number", F.col("_g") - F.col("_f") + 1).drop("_i", "_p", "_s", "_g", "_f")
-
-
 def traverse(relations: DataFrame, start: str | DataFrame, direction: str = DOWNSTREAM, max_depth: int | None = None) -> DataFrame:
     """The edges reached from the start in breadth-first order: start_id, position, depth and the
     edge. Edges to objects that were visited before are given too; each object is expanded once.

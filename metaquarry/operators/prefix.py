@@ -1,10 +1,13 @@
-"""Running values over numbered buckets, summed in runs so that no task gets all of them."""
+"""Running values over numbered buckets and numbers within groups, made so that no task gets all
+rows of a group."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from metaquarry.session import cut, small
+
 RUN = 2048  # buckets whose values are taken together
 
 
@@ -21,3 +24,16 @@ def before(buckets: DataFrame, run: int = RUN, **kinds: str) -> DataFrame:
     # Of a null and a value both give the value.
     both = lambda c, k: F.greatest(f"base_{c}", c) if k == "max" else F.when(F.col(f"base_{c}").isNull(), F.col(c)).otherwise(F.col(f"base_{c}") + F.coalesce(c, F.lit(0)))
     return inner.join(tops, "run").select("bucket", *[both(c, k).alias(c) for c, k in kinds.items()])
+
+
+def numbered(df: DataFrame, group: str, *order: str) -> DataFrame:
+    """Adds number, 1, 2, ... within each group in the given order, which must be total. Rows are
+    sorted into ranges, and the ranges' sizes are summed up, so no group has to fit into a task."""
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = cut(df.repartitionByRange(parts, group, *order).sortWithinPartitions(group, *order).withColumn("_i", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_i", 33), F.col("_i").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = ranged.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
+    starts = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_s"))  # one row per range
+    at = ranged.withColumn("_p", part).join(F.broadcast(starts), "_p").withColumn("_g", F.col("_s") + place)
+    first = small(cut(at.groupBy(group).agg(F.min("_g").alias("_f"))))
+    return at.join(first, group).withColumn("number", F.col("_g") - F.col("_f") + 1).drop("_i", "_p", "_s", "_g", "_f")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from metaquarry.operators import hierarchy as H
 from metaquarry.operators import history as V
 from metaquarry.operators import snapshots as S
 from metaquarry.operators import wide as W
-from metaquarry.session import table
+from metaquarry.session import shared_dir, table
 
 
 def p1_wide(spark: SparkSession, d: str) -> DataFrame:
@@ -34,6 +36,19 @@ def p5_history(spark: SparkSession, d: str) -> DataFrame:
     return V.version_history(table(spark, d, "object_version"))
 
 
+def p5_loads(spark: SparkSession, d: str) -> DataFrame:
+    """The history from satellites that are loaded twice: by what had come up to the middle of the
+    time of loading, and by the rest, part of which is late."""
+    rows = table(spark, d, "object_version")
+    low, high = rows.agg(F.min("loaded_at"), F.max("loaded_at")).first()
+    store = V.Satellites(spark, f"{shared_dir(spark)}/satellites-{uuid.uuid4().hex}", V.attributes())
+    middle = None if low is None else low + (high - low) / 2
+    if middle is not None:
+        store.load(rows.where(F.col("loaded_at") <= F.lit(middle)))
+        store.load(rows.where(F.col("loaded_at").isNull() | (F.col("loaded_at") > F.lit(middle))))
+    return store.history("hash_value").select(F.col("k").alias("object_id"), F.col("d").alias("hash_value"), "valid_from", "valid_to", "is_current")
+
+
 def p5_locations(spark: SparkSession, d: str) -> DataFrame:
     return V.location_history(table(spark, d, "object_version"))
 
@@ -135,4 +150,5 @@ SELECT l.v AS object_id, l.p AS parent_id, coalesce(r.root, '') AS root_object_i
     "p6_descendants": _TREE + " SELECT a.v AS ancestor_id, x.v AS descendant_id, x.depth - a.depth AS distance FROM r a JOIN r x ON starts_with(x.path, a.path || '/')",
 }
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_wide, p2_found, p5_found, p5_history, p5_locations, p6_found, p6_hierarchy, p6_descendants)}
+ORACLES["p5_loads"] = ORACLES["p5_history"]
+QUERIES = {f.__name__: f for f in (p1_found, p1_wide, p2_found, p5_found, p5_history, p5_loads, p5_locations, p6_found, p6_hierarchy, p6_descendants)}

@@ -62,13 +62,42 @@ def test_locations_are_a_satellite_of_their_own(spark):
     assert [r[1] for r in rows(V.location_history(table(spark, data)))] == ["repo://a", "repo://b"]
 
 
-def test_change_rates_split_attributes(spark):
-    from pyspark.sql import functions as F
-
+def test_rates_assign_attributes_to_satellites(spark, tmp_path):
     data = [("o", str(i), "same", i, 1) for i in range(20)]
-    rates = V.change_rates(table(spark, data), "object_id", "created_at", "loaded_at", {"hash": F.col("hash_value"), "location": F.col("source_location")})
-    assert rates == {"hash": 0.95, "location": 0.0}
-    assert V.split_by_rate(rates) == [["location"], ["hash"]]
+    store = V.Satellites(spark, str(tmp_path / "s"), V.attributes())
+    store.load(table(spark, data))
+    assert store.bands() == {"hash_value": 2, "source_location": 0} == V.split_by_rate({"hash_value": 0.95, "source_location": 0.0})
+    assert {(r["a"], r["satellite"]) for r in store.rows().collect()} == {("hash_value", 2), ("source_location", 0)}
+
+
+def stored(spark, folder, loads, hot_rows=V.HOT_ROWS):
+    store = V.Satellites(spark, str(folder), V.attributes(), hot_rows=hot_rows)
+    for part in loads:
+        store.load(table(spark, part))
+    return store
+
+
+def test_loads_append_and_equal_the_full_history(spark, tmp_path):
+    data = example(3)
+    for n, cut_up in enumerate(([data[:150], data[150:300], data[300:]], [sorted(data, key=lambda r: (r[3] or 0))[:200], sorted(data, key=lambda r: (r[3] or 0))[200:], data[:9]])):
+        store = stored(spark, tmp_path / str(n), cut_up, hot_rows=20)
+        assert rows(store.history("hash_value").select("k", "d", "valid_from", "valid_to", "is_current")) == plain(data)
+
+
+def test_a_load_in_order_of_time_appends_changes_only(spark, tmp_path):
+    store = stored(spark, tmp_path, [[("o", "x", "p", 1, 1), ("o", "y", "p", 2, 1)], [("o", "y", "p", 3, 1), ("o", "z", "p", 4, 1), ("q", "x", None, 4, 1)], [], [("o", "y", "q", 3, 1)]])
+    got = sorted((r["k"], r["a"], r["d"], r["gen"]) for r in store.rows().collect())
+    assert [g for g in got if g[3] == 0] == [("o", "hash_value", "x", 0), ("o", "hash_value", "y", 0), ("o", "hash_value", "z", 0), ("o", "source_location", "p", 0), ("q", "hash_value", "x", 0)]
+    # The late row of o gives all its rows again, as one more generation.
+    assert len([g for g in got if g[3] == 1]) == 3 + 3 and len(rows(store.history("source_location"))) == 3
+
+
+def test_a_load_that_breaks_off_does_not_count(spark, tmp_path):
+    store = stored(spark, tmp_path, [[("o", "x", None, 1, 1)]])
+    store.log().write.parquet(str(tmp_path / "log" / "load=1"))
+    assert store.log().count() == 1
+    store.load(table(spark, [("o", "y", None, 2, 1)]))
+    assert [r[1] for r in rows(store.history("hash_value"))] == ["x", "y"] or len(rows(store.history("hash_value"))) == 2
 
 
 def test_empty_and_null_only(spark):
