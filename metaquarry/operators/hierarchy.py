@@ -18,6 +18,7 @@ from metaquarry.operators.prefix import before
 from metaquarry.session import cut, small, spread
 
 HOT_ROWS, SALTS = 1_000_000, 64
+ROWS_A_FILE = 100_000
 # Sizes on a cycle have no meaning and would grow without end; no sound one comes near this.
 MOST = 1 << 44
 
@@ -33,6 +34,11 @@ def parent_links(relations: DataFrame, kind: str = "BELONGS_TO") -> DataFrame:
     return ends.where("v is not null").groupBy("v").agg(F.max(real).alias("m")).select("v", F.col("m.p").alias("p"))
 
 
+def stored(df: DataFrame, rows: int) -> DataFrame:
+    """df, which has up to `rows` rows, as a table without very small files."""
+    return cut(df.coalesce(max(1, -(-rows // ROWS_A_FILE))))
+
+
 def followed(walk: DataFrame, jump: DataFrame, rows: int, hot_rows: int = HOT_ROWS) -> DataFrame:
     """walk (v, a, ...) joined with jump, which has each a once. An a that more than hot_rows of the
     walk point to is salted; there are so few of these that they fit a broadcast."""
@@ -50,14 +56,14 @@ def subtree_sizes(links: DataFrame, *, hot_rows: int = HOT_ROWS) -> DataFrame:
     A pass holds the nodes whose way has not ended, with the ancestor a that they have come to and
     the size of their subtree down to that distance; nodes leave it at the root. What the nodes of
     a pass give their a is added up once, over all passes."""
-    walk = cut(links.where("p is not null").select("v", F.col("p").alias("a"), F.lit(1).cast("long").alias("size")))
+    walk = links.where("p is not null").select("v", F.col("p").alias("a"), F.lit(1).cast("long").alias("size"))
     passes, left = [], walk.count()
     while left:
         passes.append(walk)
         gain = walk.groupBy(F.col("a").alias("v")).agg(F.try_sum("size").alias("gain"), F.count("*").alias("n"))
         grown = walk.join(gain, "v", "left").select("v", "a", F.when(F.col("n").isNull(), F.col("size")).otherwise(F.least(F.coalesce(F.col("size") + F.col("gain"), F.lit(MOST)), F.lit(MOST))).alias("size"))
         jump = grown.select(F.col("v").alias("a"), F.col("a").alias("a2"))
-        walk = cut(followed(grown, jump, left, hot_rows).select("v", F.col("a2").alias("a"), "size"))
+        walk = stored(followed(grown, jump, left, hot_rows).select("v", F.col("a2").alias("a"), "size"), left)
         now = walk.count()
         if now == left:  # every pass ends the way of some node, unless only cycles are left
             break
@@ -89,12 +95,12 @@ def preorder(sized: DataFrame, *, with_path: bool = False, hot_rows: int = HOT_R
     n = nodes.count()
     path = [F.array("v").alias("path")] if with_path else []
     both = [F.concat("p2", "path").alias("path")] if with_path else []
-    first = cut(sibling_offsets(nodes, spread(sized.sparkSession, n)).select("v", "p", "size", F.col("p").alias("a"), F.col("w").alias("lft"), *path))
+    first = stored(sibling_offsets(nodes, spread(sized.sparkSession, n)).select("v", "p", "size", F.col("p").alias("a"), F.col("w").alias("lft"), *path), n)
     done, walk = [first.where("a is null")], first.where("a is not null")
     left = walk.count()
     while left:
         jump = reduce(DataFrame.unionByName, [*done, walk]).select(F.col("v").alias("a"), F.col("a").alias("a2"), F.col("lft").alias("l2"), *([F.col("path").alias("p2")] if with_path else []))
-        step = cut(followed(walk, jump, left, hot_rows).select("v", "p", "size", F.col("a2").alias("a"), (F.col("lft") + F.col("l2")).alias("lft"), *(both or [])))
+        step = stored(followed(walk, jump, left, hot_rows).select("v", "p", "size", F.col("a2").alias("a"), (F.col("lft") + F.col("l2")).alias("lft"), *both), left)
         done.append(step.where("a is null"))
         walk = step.where("a is not null")
         left = walk.count()
@@ -129,7 +135,8 @@ def hierarchy(relations: DataFrame, *, kind: str = "BELONGS_TO", with_path: bool
     the same root and v.lft < u.lft < v.rgt. path holds the ids from the root to the object.
     Objects on a cycle or below one have root '' and depth -1 and null in the other columns.
     Repeated, late and null rows are handled as in parent_links; no links give no row."""
-    sized = cut(subtree_sizes(cut(parent_links(relations, kind)), hot_rows=hot_rows))
+    links = cut(parent_links(relations, kind))
+    sized = stored(subtree_sizes(links, hot_rows=hot_rows), links.count())
     placed, n = preorder(sized, with_path=with_path, hot_rows=hot_rows)
     lft = F.col("lft") - F.col("root_lft")
     found = from_ranges(placed, n).select(
