@@ -1,13 +1,16 @@
 """The Parquet catalogue: set-at-a-time reads, writes, classification and resolution of edges.
 
 Each table is a list of folders that a manifest names. A change writes new folders beside the old
-ones and then swaps the manifest in one step, so readers never see half of it and several tables
-change together. An append adds a folder, a rewrite replaces the list."""
+ones and then a manifest with the next number, which fails if there is one by then: readers never
+see half of a change, several tables change together, and of two writers none loses what it wrote.
+An append adds a folder, a rewrite replaces the list."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,10 @@ from metaquarry.schemas import TABLES, complete_identity, natural_id, struct_typ
 from metaquarry.session import cut
 
 
+class ChangedMeanwhile(Exception):
+    """Another writer has changed a table that is being rewritten."""
+
+
 class Naming:
     """Names of tables: schema, prefix and name."""
 
@@ -40,30 +47,64 @@ class Catalog:
         path = hadoop.Path(self.root)
         return hadoop, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _manifest(self) -> dict[str, list[str]]:
-        """The folders that hold the current rows of each table."""
+    def _latest(self) -> tuple[int, dict[str, list[str]]]:
+        """The number of the last manifest, 0 for none, and the folders that hold the rows of each
+        table."""
         hadoop, fs = self._fs()
-        at = hadoop.Path(f"{self.root}/_manifest")
-        if not fs.exists(at):
-            return {}
-        stream = fs.open(at)
+        folder = hadoop.Path(f"{self.root}/_manifests")
+        numbers = [int(s.getPath().getName()) for s in fs.listStatus(folder) if s.getPath().getName().isdecimal()] if fs.exists(folder) else []
+        if not numbers:
+            return 0, {}
+        stream = fs.open(hadoop.Path(folder, f"{max(numbers):09d}"))
         try:
             text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
-        return {name: paths for name, *paths in (line.split("\t") for line in text.splitlines() if line)}
+        return max(numbers), {name: paths for name, *paths in (line.split("\t") for line in text.splitlines() if line)}
+
+    def _manifest(self) -> dict[str, list[str]]:
+        return self._latest()[1]
 
-    def _swap(self, manifest: dict[str, list[str]]) -> None:
-        """Puts a new manifest in the place of the old one in a single step."""
+    def _put(self, number: int, manifest: dict[str, list[str]]) -> bool:
+        """Writes the manifest under its number in a single step; false if there is one already."""
         hadoop, fs = self._fs()
-        new, at = hadoop.Path(f"{self.root}/_manifest.{uuid.uuid4().hex}"), hadoop.Path(f"{self.root}/_manifest")
+        new, at = hadoop.Path(f"{self.root}/_manifests/new-{uuid.uuid4().hex}"), hadoop.Path(f"{self.root}/_manifests/{number:09d}")
         stream = fs.create(new, True)
         stream.write(bytearray("".join("\t".join([k, *v]) + "\n" for k, v in sorted(manifest.items())), "utf-8"))
         stream.close()
-        rename = getattr(hadoop, "Options$Rename")
-        how = self.spark.sparkContext._gateway.new_array(rename, 1)
-        how[0] = rename.OVERWRITE
-        hadoop.FileContext.getFileContext(fs.getUri()).rename(fs.makeQualified(new), fs.makeQualified(at), how)
+        how = self.spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+        try:
+            hadoop.FileContext.getFileContext(fs.getUri()).rename(fs.makeQualified(new), fs.makeQualified(at), how)
+        except Py4JJavaError as e:
+            fs.delete(new, False)
+            if "FileAlreadyExists" not in str(e.java_exception):
+                raise
+            return False
+        return True
+
+    def _commit(self, change: Callable[[dict[str, list[str]]], dict[str, list[str]]]) -> None:
+        """Puts change(the last manifest) next; begins again if another writer was faster."""
+        while True:
+            number, now = self._latest()
+            if self._put(number + 1, change(now)):
+                return
+
+    def _rewritten(self, make: Callable[[], dict[str, DataFrame]]) -> None:
+        """Replaces tables by what make() gives from their rows; made anew if another writer has
+        changed one of them meanwhile."""
+        while True:
+            base = self._manifest()
+            written = {name: [self._write(name, df)] for name, df in make().items()}
+
+            def change(now: dict[str, list[str]]) -> dict[str, list[str]]:
+                if any(now.get(n) != base.get(n) for n in written):  # noqa: B023
+                    raise ChangedMeanwhile
+                return now | written  # noqa: B023
+
+            try:
+                return self._commit(change)
+            except ChangedMeanwhile:
+                continue
 
     def _write(self, name: str, df: DataFrame) -> str:
         path = f"{self.root}/{self.naming.folder(name)}/v-{uuid.uuid4().hex}"
@@ -87,18 +128,16 @@ class Catalog:
 
     def replace(self, tables: dict[str, DataFrame]) -> None:
         """Writes new versions of the tables and makes all of them current at once."""
-        written = {name: [self._write(name, df)] for name, df in tables.items()}
-        self._swap(self._manifest() | written)
+        self._rewritten(lambda: tables)
 
     def append(self, tables: dict[str, DataFrame]) -> None:
         """Adds rows to the tables, all at once; what is stored is not rewritten."""
         written = {name: self._write(name, df) for name, df in tables.items()}
-        manifest = self._manifest()
-        self._swap(manifest | {name: [*manifest.get(name, []), path] for name, path in written.items()})
+        self._commit(lambda now: now | {name: [*now.get(name, []), path] for name, path in written.items()})
 
     def compact(self, *names: str) -> None:
         """Brings the folders that appends have left behind into one each."""
-        self.replace({n: self.read(n) for n in names or tuple(self._manifest())})
+        self._rewritten(lambda: {n: self.read(n) for n in names or tuple(self._manifest())})
 
     def create_objects(self, objects: DataFrame, columns: DataFrame, properties: DataFrame) -> DataFrame:
         """Stores new objects with their children in one change; gives back what is stored."""
@@ -106,13 +145,37 @@ class Catalog:
         return with_children(self.read("OBJECT").join(objects.select("object_id"), "object_id", "left_semi"), self.read("COLUMN"), self.read("PROPERTY"))
 
     def update_objects(self, changed: DataFrame, columns: DataFrame, properties: DataFrame) -> None:
-        self.replace({"OBJECT": updated(self.read("OBJECT"), changed), "COLUMN": with_replaced(self.read("COLUMN"), columns), "PROPERTY": with_replaced(self.read("PROPERTY"), properties)})
+        self._rewritten(lambda: {"OBJECT": updated(self.read("OBJECT"), changed), "COLUMN": with_replaced(self.read("COLUMN"), columns), "PROPERTY": with_replaced(self.read("PROPERTY"), properties)})
 
     def delete_objects(self, ids: DataFrame) -> DataFrame:
         """Deletes objects by id and gives them back; their children and edges stay."""
-        gone = cut(self.read("OBJECT").join(ids.select("object_id").distinct(), "object_id", "left_semi"))
-        self.replace({"OBJECT": self.read("OBJECT").join(ids, "object_id", "left_anti")})
-        return gone
+        ids = cut(ids.select("object_id").distinct())
+        gone = []
+
+        def rest() -> dict[str, DataFrame]:
+            stored = self.read("OBJECT")
+            gone[:] = [cut(stored.join(ids, "object_id", "left_semi"))]
+            return {"OBJECT": stored.join(ids, "object_id", "left_anti")}
+
+        self._rewritten(rest)
+        return gone[0]
+
+    def save_column_relations(self, relations: DataFrame) -> None:
+        """Stores relations between columns (source_column_id, target_column_id, transformation)
+        under ids made of these; what is stored already stays as it is."""
+        new = relations.withColumn("relation_id", natural_id("source_column_id", "target_column_id", F.coalesce("transformation", F.lit("")))).dropDuplicates(["relation_id"])
+        self.append({"COLUMN_RELATION": new.join(self.read("COLUMN_RELATION").select("relation_id"), "relation_id", "left_anti")})
+
+    def find_column_relations(self, columns: DataFrame, end: str = "source") -> DataFrame:
+        """The stored relations whose source or target is one of the columns (column_id)."""
+        ids = columns.select(F.col("column_id").alias(f"{end}_column_id")).distinct()
+        return self.read("COLUMN_RELATION").join(ids, f"{end}_column_id", "left_semi")
+
+    def save_scan(self, jobs: DataFrame, targets: DataFrame, results: DataFrame) -> None:
+        """Stores jobs with their targets and results in one change; later rows of a job, target or
+        result take the place of earlier ones."""
+        new = {"SCAN_JOB": ("scan_job_id", jobs), "SCAN_TARGET": ("target_id", targets), "SCAN_RESULT": ("result_id", results)}
+        self._rewritten(lambda: {n: self.read(n).join(df.select(k), k, "left_anti").unionByName(df.select(*[f.name for f in struct_type(TABLES[n]).fields])) for n, (k, df) in new.items()})
 
     def create_relations(self, found: DataFrame, sources: DataFrame, created_at: Column | None = None) -> int:
         """Resolves and stores candidates; gives the number resolved, duplicates included."""
@@ -122,6 +185,19 @@ class Catalog:
         return edges.count()
 
 
+def results_of(jobs: DataFrame, columns: DataFrame, relations: DataFrame, failures: DataFrame) -> DataFrame:
+    """(scan_job_id, object_count, column_count, relation_count, error_count) of each job: how many
+    different objects, columns, relations and failures it delivered, 0 where none. Each table is
+    (scan_job_id, an id, ...) and is counted by itself before the join; jobs that are null or not in
+    `jobs` do not count."""
+    out = jobs.select("scan_job_id").where("scan_job_id is not null").distinct()
+    parts = [columns.groupBy("scan_job_id").agg(F.count_distinct("object_id").alias("object_count"), F.count_distinct("column_id").alias("column_count"))]
+    parts += [df.groupBy("scan_job_id").agg(F.count_distinct(i).alias(n)) for df, i, n in ((relations, "relation_id", "relation_count"), (failures, "failure_id", "error_count"))]
+    for p in parts:
+        out = out.join(p, "scan_job_id", "left")
+    return out.na.fill(0)
+
+
 def with_children(objects: DataFrame, columns: DataFrame, properties: DataFrame) -> DataFrame:
     """Objects with columns, in order of position, and properties, in order of name, as arrays.
     Children are combined per object before the join; an object without any has empty arrays."""

@@ -8,12 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from metaquarry.functions import extension
+from metaquarry.operators.objects import dispatch
+from metaquarry.sources.files import is_wanted
 
-def file_stream(spark: SparkSession, root: str, pattern: str = "*.sql") -> DataFrame:
-    """(path, length, modified_at, hash_value) of files as they arrive in a folder."""
+
+def file_stream(spark: SparkSession, root: str) -> DataFrame:
+    """(path, length, modified_at, hash_value) of the files with a parser as they arrive in a folder,
+    by the same rules as a full scan: extensions in any letter case, no generated test suites.
+    Spark's listing leaves out names that begin with a dot or an underscore."""
     schema = "path string, modificationTime timestamp, length long, content binary"
-    s = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    return s.select("path", "length", F.col("modificationTime").alias("modified_at"), F.md5("content").alias("hash_value"))
+    s = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(root)
+    known = s.where(is_wanted("path") & dispatch(extension("path")).isNotNull())
+    return known.select("path", "length", F.col("modificationTime").alias("modified_at"), F.md5("content").alias("hash_value"))
 
 
 def latest_targets(changes: DataFrame, known: DataFrame) -> DataFrame:
@@ -34,10 +41,11 @@ def scan_incrementally(spark: SparkSession, root: str, state: str, checkpoint: s
     def batch(df: DataFrame, number: int) -> None:
         session = df.sparkSession
         schema = "path string, hash_value string, batch long"
-        try:
+        at = session._jvm.org.apache.hadoop.fs.Path(state)
+        if at.getFileSystem(session._jsc.hadoopConfiguration()).exists(at):
             kept = session.read.schema(schema).parquet(state).where(F.col("batch") < number)
             known = kept.groupBy("path").agg(F.max_by("hash_value", "batch").alias("hash_value"))
-        except Exception:  # noqa: BLE001  there is no state before the first batch
+        else:  # before the first batch; a state that is there and cannot be read is an error
             known = session.createDataFrame([], "path string, hash_value string")
         targets = latest_targets(df, known).persist()
         try:

@@ -53,6 +53,45 @@ def test_round_trip(spark, tmp_path):
     assert rows(cat.read("OBJECT").select("object_id")) == [("2",)] and cat.read("COLUMN").count() == 1
 
 
+def test_two_writers_lose_nothing(spark, tmp_path):
+    one, two = C.Catalog(spark, f"file://{tmp_path}"), C.Catalog(spark, f"file://{tmp_path}")
+    one.append({"OBJECT": objects(spark, [("1", "s", "q.a", "a")])})
+    put, did = one._put, []
+
+    def late(number, manifest):
+        if len(did) < 1:
+            did.append(1)
+            two.append({"OBJECT": objects(spark, [(f"w{number}", "s", f"q.{number}", "b")])})
+        return put(number, manifest)
+
+    one._put = late
+    one.append({"OBJECT": objects(spark, [("2", "s", "q.b", "b")])})
+    assert sorted(r["object_id"] for r in one.read("OBJECT").collect()) == ["1", "2", "w2"]
+    did.clear()
+    gone = one.delete_objects(objects(spark, [("1", "s", "q.a", "a")]))
+    assert rows(gone.select("object_id")) == [("1",)] and sorted(r["object_id"] for r in two.read("OBJECT").collect()) == ["2", "w2", "w4"]
+
+
+def test_column_relations_are_saved_once_and_found(spark, tmp_path):
+    cat = C.Catalog(spark, f"file://{tmp_path}")
+    r = spark.createDataFrame([("c1", "c2", "copy"), ("c1", "c2", "copy"), ("c2", "c3", None)], "source_column_id string, target_column_id string, transformation string")
+    cat.save_column_relations(r)
+    cat.save_column_relations(r)
+    c2 = spark.createDataFrame([("c2",), (None,)], "column_id string")
+    assert cat.read("COLUMN_RELATION").count() == 2
+    assert [x["target_column_id"] for x in cat.find_column_relations(c2).collect()] == ["c3"] and [x["source_column_id"] for x in cat.find_column_relations(c2, "target").collect()] == ["c1"]
+
+
+def test_scans_are_saved_with_targets_and_results(spark, tmp_path):
+    cat = C.Catalog(spark, f"file://{tmp_path}")
+    job = lambda status: spark.createDataFrame([("j", "x", NOW, None, status)], "scan_job_id string, scanner_name string, started_at timestamp, finished_at timestamp, status string")
+    target = spark.createDataFrame([("t", "j", "FILE", "/a", "h", True)], "target_id string, scan_job_id string, target_type string, target_path string, hash_value string, changed boolean")
+    result = spark.createDataFrame([("r", "j", 1, 2, 0, 0)], "result_id string, scan_job_id string, object_count long, relation_count long, warning_count long, error_count long")
+    cat.save_scan(job("RUNNING"), target, result.limit(0))
+    cat.save_scan(job("SUCCESS"), target, result)
+    assert [cat.read(n).count() for n in ("SCAN_JOB", "SCAN_TARGET", "SCAN_RESULT")] == [1, 1, 1] and cat.read("SCAN_JOB").first()["status"] == "SUCCESS"
+
+
 def test_candidates_are_resolved_in_their_system_first(spark):
     o = objects(spark, [("1", "s", "q.a", "a"), ("2", "s", "q.b", "b"), ("3", "r", "q.b", "b"), ("4", "a", "q.c", "c"), ("5", "z", "q.c", "c"), ("6", "z", "Q.B", "B")])
     found = spark.createDataFrame([("1", t, "READS", "STATIC_SQL") for t in ("q.b", "q.c", "q.none", "Q.B", "q.b")] + [("9", "q.b", "READS", "STATIC_SQL"), ("1", None, "READS", "STATIC_SQL")], "object_id string, target_qualified_name string, relation_type string, source_type string")

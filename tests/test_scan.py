@@ -5,7 +5,7 @@ import json
 import pytest
 
 from conftest import rows
-from metaquarry import cli, config
+from metaquarry import cli, connection
 from metaquarry.operators.catalog import Catalog
 from metaquarry.plans import pipeline as P
 from metaquarry.sources import files as S
@@ -68,24 +68,15 @@ def test_command_line(spark, tmp_path, capsys):
         cli.main([], spark)
 
 
-GOOD = "host: h # c\nport: 5432\ndatabase: d\nusername: u\npassword: 'p'\nschema: s\ntable_prefix: T_\n"
-
-
-def test_settings(tmp_path):
-    y = tmp_path / "db.yaml"
-    y.write_text(GOOD)
-    s = config.load(str(y))
-    assert (s.host, s.port, s.schema, s.table_prefix) == ("h", 5432, "s", "T_") and s.jdbc_options()["url"] == "jdbc:postgresql://h:5432/d"
-    assert config._flat(GOOD)["password"] == "p"
-    e = tmp_path / "env.TXT"
-    e.write_text("\n".join(f'$env:{k} = "{v}"' for k, v in {"PGHOST": "h", "PGPORT": "1", "PGDATABASE": "d", "PGUSER": "u", "PGPASSWORD": "p"}.items()))
-    assert config.load(str(e)).port == 1
-    for text, error in [("port: 1\n", "Missing"), ("- a\n", "mapping"), (GOOD.replace("5432", "x"), "integer"), (GOOD.replace(": h", ": 1"), "strings"), ("a: [", "Invalid")]:
-        y.write_text(text)
-        with pytest.raises(config.ConfigurationError, match=error):
-            config.load(str(y))
-    e.write_text("$env:PGHOST=h")
-    with pytest.raises(config.ConfigurationError, match="PGPORT, PGDATABASE"):
-        config.load(str(e))
-    with pytest.raises(config.ConfigurationError, match="not found"):
-        config.load(str(tmp_path / "none"))
+def test_connection_settings(spark, tmp_path):
+    lines = "host: h # here\nport = 5432\n\ndatabase: 'd#1'\nusername: u\npassword: \"p:=\"\nschema: s\ntable_prefix: T_\n"
+    options, names = connection.jdbc(connection.settings(lines))
+    assert options == {"url": "jdbc:postgresql://h:5432/d#1", "user": "u", "password": "p:="} and names.table("OBJECT") == "s.T_OBJECT"
+    f = tmp_path / "env.txt"
+    f.write_text("# comment\n" + "\n".join(f'$env:{k} = "{v}"' for k, v in {"PGHOST": "h", "PGPORT": "1", "PGDATABASE": "d", "PGUSER": "u", "PGPASSWORD": "p"}.items()))
+    assert connection.from_file(spark, str(f))[0]["url"] == "jdbc:postgresql://h:1/d"
+    with pytest.raises(ValueError, match="no host, no database, no username, no password, port 'x' is no number"):
+        connection.jdbc(connection.settings("port: x"))
+    spark.conf.set("spark.metaquarry.catalog.host", "h")
+    with pytest.raises(ValueError, match="no port, no database"):
+        connection.from_session(spark)
