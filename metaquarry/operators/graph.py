@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from metaquarry.operators.prefix import numbered
+from metaquarry.operators.prefix import HOT_ROWS, numbered, salted_join
 from metaquarry.session import cut
 
 UPSTREAM, DOWNSTREAM = "UPSTREAM", "DOWNSTREAM"
@@ -50,8 +50,9 @@ def traverse(relations: DataFrame, start: str | DataFrame, direction: str = DOWN
         levels.append(level)
         # The next frontier: objects not seen before, ranked by the first edge that reaches them.
         new = level.groupBy("start_id", F.col(there).alias("object_id")).agg(F.min("position").alias("rank"))
-        frontier = cut(new.join(visited, ["start_id", "object_id"], "left_anti"), instead_of=frontier)
-        visited = cut(visited.unionByName(frontier.select("start_id", "object_id")), instead_of=visited)
+        frontier = cut(new.join(visited, ["start_id", "object_id"], "left_anti"))
+        # What was visited is the union of the frontiers; none is written again.
+        visited = visited.unionByName(frontier.select("start_id", "object_id"))
         base = level.groupBy("start_id").agg(F.max("position").alias("base"))
         depth += 1
     if not levels:
@@ -67,3 +68,12 @@ def reachable(relations: DataFrame, start: str | DataFrame, direction: str = DOW
     there = "from_object_id" if direction == UPSTREAM else "to_object_id"
     t = traverse(relations, start, direction, max_depth)
     return t.where(F.col(there) != F.col("start_id")).groupBy("start_id", F.col(there).alias("object_id")).agg(F.min("depth").alias("depth"))
+
+
+def within_two(relations: DataFrame, *, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(s, v): the objects v that one or two edges lead to from each s, s itself excepted. Ways
+    through an object of very many incoming edges are dealt out over tasks; rows with a null end
+    do not count."""
+    r = cut(relations.select(F.col("from_object_id").alias("s"), F.col("to_object_id").alias("v")).where("s is not null and v is not null and s <> v").distinct())
+    two = salted_join(r.select("s", F.col("v").alias("m")), r.select(F.col("s").alias("m"), "v"), "m", "s", r.count(), hot_rows)
+    return r.unionByName(two.where("s <> v").select("s", "v")).distinct()

@@ -14,10 +14,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from metaquarry.operators.prefix import before
+from metaquarry.operators.prefix import HOT_ROWS, before, salted_join
 from metaquarry.session import cut, small, spread
 
-HOT_ROWS, SALTS = 1_000_000, 64
 ROWS_A_FILE = 100_000
 # Sizes on a cycle have no meaning and would grow without end; no sound one comes near this.
 MOST = 1 << 44
@@ -39,17 +38,6 @@ def stored(df: DataFrame, rows: int) -> DataFrame:
     return cut(df.coalesce(max(1, -(-rows // ROWS_A_FILE))))
 
 
-def followed(walk: DataFrame, jump: DataFrame, rows: int, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """walk (v, a, ...) joined with jump, which has each a once. An a that more than hot_rows of the
-    walk point to is salted; there are so few of these that they fit a broadcast."""
-    if rows <= hot_rows:
-        return walk.join(jump, "a")
-    hot = small(cut(walk.groupBy("a").count().where(F.col("count") > hot_rows).select("a", F.lit(True).alias("hot"))))
-    one = walk.join(hot, "a", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).otherwise(0))
-    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return one.drop("hot").join(jump.join(hot, "a", "left").withColumn("salt", F.explode(salts)).drop("hot"), ["a", "salt"]).drop("salt")
-
-
 def subtree_sizes(links: DataFrame, *, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(v, p, size, open): sizes of all subtrees; open marks nodes whose way up never ends.
 
@@ -63,7 +51,7 @@ def subtree_sizes(links: DataFrame, *, hot_rows: int = HOT_ROWS) -> DataFrame:
         gain = walk.groupBy(F.col("a").alias("v")).agg(F.try_sum("size").alias("gain"), F.count("*").alias("n"))
         grown = walk.join(gain, "v", "left").select("v", "a", F.when(F.col("n").isNull(), F.col("size")).otherwise(F.least(F.coalesce(F.col("size") + F.col("gain"), F.lit(MOST)), F.lit(MOST))).alias("size"))
         jump = grown.select(F.col("v").alias("a"), F.col("a").alias("a2"))
-        walk = stored(followed(grown, jump, left, hot_rows).select("v", F.col("a2").alias("a"), "size"), left)
+        walk = stored(salted_join(grown, jump, "a", "v", left, hot_rows).select("v", F.col("a2").alias("a"), "size"), left)
         now = walk.count()
         if now == left:  # every pass ends the way of some node, unless only cycles are left
             break
@@ -100,7 +88,7 @@ def preorder(sized: DataFrame, *, with_path: bool = False, hot_rows: int = HOT_R
     left = walk.count()
     while left:
         jump = reduce(DataFrame.unionByName, [*done, walk]).select(F.col("v").alias("a"), F.col("a").alias("a2"), F.col("lft").alias("l2"), *([F.col("path").alias("p2")] if with_path else []))
-        step = stored(followed(walk, jump, left, hot_rows).select("v", "p", "size", F.col("a2").alias("a"), (F.col("lft") + F.col("l2")).alias("lft"), *both), left)
+        step = stored(salted_join(walk, jump, "a", "v", left, hot_rows).select("v", "p", "size", F.col("a2").alias("a"), (F.col("lft") + F.col("l2")).alias("lft"), *both), left)
         done.append(step.where("a is null"))
         walk = step.where("a is not null")
         left = walk.count()

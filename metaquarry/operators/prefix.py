@@ -1,5 +1,5 @@
-"""Running values over numbered buckets and numbers within groups, made so that no task gets all
-rows of a group."""
+"""Running values over numbered buckets, numbers within groups, and joins on hot keys, made so that
+no task gets all rows of a group."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from metaquarry.session import cut, small
 
+HOT_ROWS, SALTS = 1_000_000, 64
 RUN = 2048  # buckets whose values are taken together
 
 
@@ -37,3 +38,15 @@ def numbered(df: DataFrame, group: str, *order: str) -> DataFrame:
     at = ranged.withColumn("_p", part).join(F.broadcast(starts), "_p").withColumn("_g", F.col("_s") + place)
     first = small(cut(at.groupBy(group).agg(F.min("_g").alias("_f"))))
     return at.join(first, group).withColumn("number", F.col("_g") - F.col("_f") + 1).drop("_i", "_p", "_s", "_g", "_f")
+
+
+def salted_join(walk: DataFrame, other: DataFrame, key: str, by: str, rows: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """walk joined with other on key. walk has `rows` rows; a key that more than hot_rows of them
+    have is salted by the column `by` of walk. There are so few such keys that a broadcast holds
+    them, and only their rows of other are repeated."""
+    if rows <= hot_rows:
+        return walk.join(other, key)
+    hot = small(cut(walk.groupBy(key).count().where(F.col("count") > hot_rows).select(key, F.lit(True).alias("hot"))))
+    one = walk.join(hot, key, "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(0))
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return one.drop("hot").join(other.join(hot, key, "left").withColumn("salt", F.explode(salts)).drop("hot"), [key, "salt"]).drop("salt")

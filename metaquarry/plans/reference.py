@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metaquarry.functions import base_name, extension, stem
 from metaquarry.operators import catalog as C
 from metaquarry.operators import graph as G
+from metaquarry.operators import hierarchy as H
 from metaquarry.operators import objects as O
 from metaquarry.operators import relations as R
 from metaquarry.operators import reports as T
 from metaquarry.operators import statements as S
 from metaquarry.operators.columns import columns_of, distribution_free
 from metaquarry.plans import scripts as P
-from metaquarry.session import cut, table
+from metaquarry.session import cut, shared_dir, table
 from metaquarry.sources import files as D
 from metaquarry.streaming.incremental import latest_targets
 
@@ -39,6 +42,11 @@ def distinct_objects(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "emip_object").dropDuplicates(["object_id"])
 
 
+def new_catalog(spark: SparkSession) -> C.Catalog:
+    """An empty catalogue in the shared folder."""
+    return C.Catalog(spark, f"{shared_dir(spark)}/catalog-{uuid.uuid4().hex}")
+
+
 def distinct_relations(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "emip_relation").where("from_object_id is not null and to_object_id is not null").dropDuplicates(["relation_id"])
 
@@ -60,9 +68,11 @@ def classify_input(spark, d):
     return f.groupBy(F.coalesce(O.dispatch(extension("relative_path")), F.lit("none")).alias("parser"), F.col("content").isNull().alias("unread")).agg(F.count_distinct("file_id").alias("n_files"))
 
 
-@query("""SELECT doc_id, md5(text) AS text_md5, CASE WHEN text IS NULL THEN 'failed' ELSE 'ok' END AS status FROM documents WHERE doc_id % 3 < 2 OR text IS NULL OR length(text) > 1""")
+@query("""WITH x AS (SELECT doc_id, text, text IS NULL OR (doc_id % 3 = 2 AND length(text) = 1) AS bad FROM documents)
+SELECT doc_id, CASE WHEN NOT bad THEN md5(text) END AS text_md5, CASE WHEN bad THEN 'failed' ELSE 'ok' END AS status FROM x""")
 def decode_bytes(spark, d):
-    doc = table(spark, d, "documents").where("doc_id % 3 < 2 or text is null or length(text) > 1")
+    """UTF-8 without and with a mark, and UTF-16, which is refused for a text of one character."""
+    doc = table(spark, d, "documents")
     raw = F.when(F.col("doc_id") % 3 == 0, F.encode("text", "UTF-8")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit(b"\xef\xbb\xbf"), F.encode("text", "UTF-8"))).otherwise(F.encode("text", "UTF-16"))
     return D.decode(doc.select("doc_id", F.col("doc_id").cast("string").alias("path"), raw.alias("content"))).select("doc_id", F.md5("text").alias("text_md5"), "status")
 
@@ -77,17 +87,37 @@ def split_statements(spark, d):
     return s.select("k", F.size("a").cast("long").alias("n_statements"), F.size(S.kept_statements_of(F.col("a"))).cast("long").alias("n_kept"))
 
 
-@query()
+def sql_files(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "source_file").where(F.lower("relative_path").endswith(".sql")).dropDuplicates(["file_id"]).withColumn("stem", stem("relative_path"))
+
+
+@query(P.FILE_STATEMENTS + " SELECT file_id, unnest(range(1, len(ss) + 1))::INTEGER AS stmt_no, md5(unnest(ss)) AS statement_md5 FROM t")
 def source_statements(spark, d):
-    """The statements of the SQL files themselves; checked in the tests against a plain scanner."""
-    f = table(spark, d, "source_file").where(F.lower("relative_path").endswith(".sql")).dropDuplicates(["file_id"])
-    return S.split_scripts(f, "file_id", text="content")
+    """The statements of the SQL files themselves, by their texts."""
+    s = S.split_scripts(sql_files(spark, d), "file_id", text="content")
+    return s.select("file_id", "stmt_no", F.md5("statement").alias("statement_md5"))
+
+
+@query(P.FILE_STATEMENTS + " SELECT file_id, unnest(range(1, len(ss) + 1))::INTEGER AS stmt_no, md5(unnest(ss)) AS sql_md5 FROM k")
+def source_kept_statements(spark, d):
+    return S.kept_statements(sql_files(spark, d), "file_id", text="content").select("file_id", "stmt_no", F.md5("sql").alias("sql_md5"))
+
+
+def file_objects(spark: SparkSession, d: str) -> DataFrame:
+    return O.read_objects(S.kept_statements(sql_files(spark, d), "file_id", "stem", text="content"), "file_id", "stmt_no", system="stem").where("object_type is not null")
 
 
 @query()
 def source_objects(spark, d):
-    f = table(spark, d, "source_file").where(F.lower("relative_path").endswith(".sql")).dropDuplicates(["file_id"]).withColumn("stem", stem("relative_path"))
-    return O.read_objects(S.kept_statements(f, "file_id", "stem", text="content"), "file_id", "stmt_no", system="stem").where("object_type is not null").select("file_id", "stmt_no", "object_type", "system_name", "qualified_name", "name")
+    return file_objects(spark, d).select("file_id", "stmt_no", "object_type", "system_name", "qualified_name", "name")
+
+
+@query(P.FILE_OBJECTS + " SELECT file_id, stmt_no, object_type, system_name, qualified_name, name, md5(x) AS description_md5 FROM o")
+def source_code_objects(spark, d):
+    """The objects of the SQL files that keep their statement: all but plain tables, whose column
+    lists SQL cannot read."""
+    o = file_objects(spark, d).where("description is not null")
+    return o.select("file_id", "stmt_no", "object_type", "system_name", "qualified_name", "name", F.md5("description").alias("description_md5"))
 
 
 @query(P.EXPECTED + " SELECT k, seq AS stmt_no, qualified_name, true AS is_description FROM o WHERE object_type <> 'TABLE'")
@@ -118,12 +148,18 @@ def extract_tsql_objects(spark, d):
     return O.read_objects(t, "k").select("k", "object_type", "qualified_name", F.size("columns").cast("long").alias("n_columns"))
 
 
-@query("""SELECT p_partkey AS k, md5('CREATE TABLE s' || (p_partkey % 10) || '.t_' || p_partkey || ' (\n  id INTEGER NOT NULL' || CASE WHEN p_partkey % 11 = 0 THEN '' ELSE ', -- the; key' END || '\n  code VARCHAR(20) UNIQUE,\n  qty NUMERIC(' || (10 + p_partkey % 5) || ',2) DEFAULT 0,\n  made TIMESTAMP(6) DEFAULT CURRENT_TIMESTAMP,\n  CONSTRAINT pk_' || p_partkey || ' PRIMARY KEY (id)\n)' || CASE WHEN p_partkey % 4 = 0 THEN '' ELSE ' ' END || ';') AS sql_md5 FROM part WHERE p_partkey % 7 = 0""")
+@query("""SELECT p_partkey AS k, md5('CREATE TABLE s' || (p_partkey % 10) || '.t_' || p_partkey || ' (\n  id INTEGER NOT NULL' || CASE WHEN p_partkey % 11 = 0 THEN '' ELSE ', -- the; key' END || '\n  code VARCHAR(20) UNIQUE,\n  qty NUMERIC(' || (10 + p_partkey % 5) || ',2) DEFAULT 0,\n  made TIMESTAMP(6) DEFAULT CURRENT_TIMESTAMP,\n  CONSTRAINT pk_' || p_partkey || ' PRIMARY KEY (id)\n)' || CASE WHEN p_partkey % 4 = 0 THEN '' ELSE ' ' END || ';') AS sql_md5 FROM part""")
 def strip_distribution(spark, d):
-    t = table(spark, d, "part").where("p_partkey % 7 = 0").select(F.col("p_partkey").alias("k")).select("k", F.expr(f"concat({P.TABLE_SQL}, {P.DISTRIBUTION}, ';')").alias("sql"))
+    t = table(spark, d, "part").select(F.col("p_partkey").alias("k")).select("k", F.expr(f"concat({P.TABLE_SQL}, {P.DISTRIBUTION}, ';')").alias("sql"))
     return t.select("k", F.md5(distribution_free("sql")).alias("sql_md5"))
 
 
+@query("""SELECT p_partkey AS k, (CASE WHEN p_partkey % 7 > 0 THEN 0 ELSE CASE p_partkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 19 WHEN 2 THEN 20 ELSE 18 END END)::BIGINT AS n_removed FROM part""")
+def strip_distribution_all(spark, d):
+    """Of whole scripts of every kind only the clauses of tables go."""
+    return P.scripts(spark, d).select("k", (F.length("text") - F.length(distribution_free("text"))).cast("long").alias("n_removed"))
+
+
 @query("""SELECT '/repo/' || (p_partkey % 9) || '/part_' || p_partkey || '.sql' AS path, 'UnsupportedSqlSyntaxError' AS error_type FROM part WHERE p_partkey % 77 = 0""")
 def invalid_ddl(spark, d):
     return P.read(spark, d).where("error_type is not null").select("path", "error_type")
@@ -240,7 +276,10 @@ def catalog_upsert(spark, d):
 @query("SELECT object_type, count(DISTINCT object_id) AS n FROM emip_object WHERE object_type <> 'FILE' GROUP BY 1")
 def catalog_delete(spark, d):
     o = distinct_objects(spark, d)
-    return o.join(o.where("object_type = 'FILE'").select("object_id"), "object_id", "left_anti").groupBy("object_type").agg(F.count("*").alias("n"))
+    stored = new_catalog(spark)
+    stored.append({"OBJECT": o})
+    stored.delete_objects(o.where("object_type = 'FILE'"))
+    return stored.read("OBJECT").groupBy("object_type").agg(F.count("*").alias("n"))
 
 
 @query("""WITH n AS (SELECT object_id, property_name, upper(property_name) u FROM emip_property WHERE property_name LIKE 'trigger%'),
@@ -312,19 +351,21 @@ def lineage_bfs_depth(spark, d):
     return G.traverse(distinct_relations(spark, d), start, G.DOWNSTREAM, 3).select("start_id", "depth", "relation_id")
 
 
-@query("""WITH e AS (SELECT r_regionkey AS f, (r_regionkey + 1) % 5 AS t FROM region) SELECT 'e' || f AS relation_id, (f + 1)::INTEGER AS depth, (f + 1)::BIGINT AS position FROM e""")
+@query("""WITH RECURSIVE b AS (SELECT from_object_id f, to_object_id t, created_at, relation_id FROM emip_relation WHERE upper(trim(relation_type)) = 'BELONGS_TO' AND from_object_id IS NOT NULL AND to_object_id IS NOT NULL),
+p AS (SELECT f, arg_max(t, (created_at, t)) t FROM b GROUP BY 1), h AS (SELECT t v FROM p WHERE t NOT IN (SELECT f FROM p) UNION SELECT p.f FROM p JOIN h ON p.t = h.v), st AS (SELECT f v FROM p WHERE f NOT IN (SELECT v FROM h)),
+r AS (SELECT DISTINCT relation_id, f, t FROM b), s AS (SELECT v AS start_id, v, 0 AS depth FROM st UNION SELECT s.start_id, r.t, s.depth + 1 FROM r JOIN s ON r.f = s.v WHERE s.depth < 4), m AS (SELECT start_id, v, min(depth) depth FROM s GROUP BY 1, 2)
+SELECT m.start_id, (m.depth + 1)::INTEGER AS depth, r.relation_id FROM m JOIN r ON r.f = m.v WHERE m.depth < 5""")
 def lineage_cycle(spark, d):
-    k = F.col("r_regionkey")
-    e = table(spark, d, "region").select(F.concat(F.lit("e"), k).alias("relation_id"), k.cast("string").alias("from_object_id"), ((k + 1) % 5).cast("string").alias("to_object_id"), F.lit("READS").alias("relation_type"), F.lit("STATIC_SQL").alias("source_type"), F.lit("2024-01-01").cast("timestamp").alias("created_at"))
-    return G.traverse(e, "0").select("relation_id", "depth", "position")
+    """From every object on a cycle of BELONGS_TO, or below one, five levels up: ways that close."""
+    r = distinct_relations(spark, d).where("upper(trim(relation_type)) = 'BELONGS_TO'")
+    start = H.hierarchy(table(spark, d, "emip_relation")).where("root_object_id = ''").select("object_id")
+    return G.traverse(r, start, G.DOWNSTREAM, 5).select("start_id", "depth", "relation_id")
 
 
 @query(f"""WITH {_R}, one AS (SELECT f s, t v FROM r WHERE f <> t), two AS (SELECT a.s, r.t v FROM one a JOIN r ON r.f = a.v WHERE r.t <> a.s), x AS (SELECT * FROM one UNION SELECT * FROM two) SELECT s AS object_id, count(*) AS n_affected FROM x GROUP BY 1""")
 def impact_within_two(spark, d):
     """Objects within two steps downstream of every object: all starts at once, set by set."""
-    r = distinct_relations(spark, d).select(F.col("from_object_id").alias("s"), F.col("to_object_id").alias("v")).where("s <> v").distinct()
-    two = r.alias("a").join(r.alias("b"), F.col("a.v") == F.col("b.s")).select("a.s", "b.v").where("s <> v")
-    return r.unionByName(two).distinct().groupBy(F.col("s").alias("object_id")).agg(F.count("*").alias("n_affected"))
+    return G.within_two(table(spark, d, "emip_relation")).groupBy(F.col("s").alias("object_id")).agg(F.count("*").alias("n_affected"))
 
 
 @query("SELECT object_id, arg_max(version_id, (version_number, created_at, version_id)) AS version_id, max(version_number) AS version_number FROM object_version GROUP BY 1")
@@ -358,20 +399,32 @@ def pii_rule_hits(spark, d):
 @query("""WITH c AS (SELECT scan_job_id, count(DISTINCT object_id) o, count(DISTINCT column_id) n FROM emip_column GROUP BY 1), f AS (SELECT scan_job_id, count(DISTINCT failure_id) e FROM failed_file GROUP BY 1)
 SELECT DISTINCT j.scan_job_id, coalesce(c.o, 0) AS object_count, coalesce(c.n, 0) AS column_count, coalesce(f.e, 0) AS error_count FROM scan_job j LEFT JOIN c USING (scan_job_id) LEFT JOIN f USING (scan_job_id)""")
 def scan_results(spark, d):
-    c = table(spark, d, "emip_column").groupBy("scan_job_id").agg(F.count_distinct("object_id").alias("o"), F.count_distinct("column_id").alias("n"))
-    f = table(spark, d, "failed_file").groupBy("scan_job_id").agg(F.count_distinct("failure_id").alias("e"))
-    zero = lambda x: F.coalesce(x, F.lit(0))
-    return table(spark, d, "scan_job").select("scan_job_id").distinct().join(c, "scan_job_id", "left").join(f, "scan_job_id", "left").select("scan_job_id", zero("o").alias("object_count"), zero("n").alias("column_count"), zero("e").alias("error_count"))
+    none = table(spark, d, "failed_file").select("scan_job_id", F.lit(None).cast("string").alias("relation_id"))
+    return C.results_of(table(spark, d, "scan_job"), table(spark, d, "emip_column"), none, table(spark, d, "failed_file")).drop("relation_count")
+
+
+_TWINS = """WITH c AS (SELECT object_id o, column_name n, min(column_id) i FROM emip_column GROUP BY 1, 2), e AS (SELECT DISTINCT from_object_id f, to_object_id t FROM emip_relation WHERE from_object_id IS NOT NULL AND to_object_id IS NOT NULL),
+p AS (SELECT f a, t b FROM e UNION SELECT r.t, w.t FROM e r JOIN e w ON r.f = w.f), x AS (SELECT DISTINCT c.i AS source_column_id, z.i AS target_column_id, c.n FROM p JOIN c ON c.o = p.a JOIN c z ON z.o = p.b AND z.n = c.n WHERE p.a <> p.b)"""
 
 
-@query("""WITH c AS (SELECT DISTINCT object_id o, column_name n FROM emip_column), r AS (SELECT DISTINCT from_object_id f, to_object_id t FROM emip_relation WHERE upper(relation_type) = 'READS')
-SELECT r.f AS from_object_id, r.t AS to_object_id, a.n AS column_name FROM r JOIN c a ON a.o = r.f JOIN c b ON b.o = r.t AND b.n = a.n""")
+@query(_TWINS + " SELECT source_column_id, target_column_id, n AS transformation FROM x UNION ALL SELECT source_column_id, target_column_id, 'again' FROM x")
 def column_lineage(spark, d):
-    """Columns of the same name at both ends of a READS edge."""
-    c = table(spark, d, "emip_column").select("object_id", "column_name").distinct()
-    r = table(spark, d, "emip_relation").where(F.upper("relation_type") == "READS").select("from_object_id", "to_object_id").distinct()
-    here = r.join(c.withColumnRenamed("object_id", "from_object_id"), "from_object_id")
-    return here.join(c.withColumnRenamed("object_id", "to_object_id"), ["to_object_id", "column_name"]).select("from_object_id", "to_object_id", "column_name")
+    """Columns of one name in tables that an edge or one object between them relates: saved twice
+    under two transformations and once more in vain, and found by their source columns."""
+    c = table(spark, d, "emip_column").groupBy("object_id", "column_name").agg(F.min("column_id").alias("column_id"))
+    e = table(spark, d, "emip_relation").where("from_object_id is not null and to_object_id is not null").select(F.col("from_object_id").alias("f"), F.col("to_object_id").alias("t")).distinct()
+    # Only tables have columns, so the ends are brought down to these before they are paired.
+    ends = e.join(c.select(F.col("object_id").alias("t")).distinct(), "t", "left_semi")
+    side = lambda o, i: c.select(F.col("object_id").alias(o), "column_name", F.col("column_id").alias(i))
+    here = ends.select("f", F.col("t").alias("b")).join(side("b", "target_column_id"), "b")
+    around = ends.select("f", F.col("t").alias("a")).join(side("a", "source_column_id"), "a").join(here, ["f", "column_name"])
+    direct = e.select(F.col("f").alias("a"), F.col("t").alias("b")).join(side("a", "source_column_id"), "a").join(side("b", "target_column_id"), ["b", "column_name"])
+    pairs = cut(direct.select("a", "b", "column_name", "source_column_id", "target_column_id").unionByName(around.select("a", "b", "column_name", "source_column_id", "target_column_id")).where("a <> b").select("source_column_id", "target_column_id", F.col("column_name").alias("transformation")).distinct())
+    stored = new_catalog(spark)
+    for x in (pairs, pairs.withColumn("transformation", F.lit("again")), pairs):
+        stored.save_column_relations(x)
+    found = stored.find_column_relations(pairs.select(F.col("source_column_id").alias("column_id")))
+    return found.select("source_column_id", "target_column_id", "transformation")
 
 
 # Reports
@@ -436,16 +489,19 @@ def coverage_by_type(spark, d):
     return T.coverage(distinct_objects(spark, d), "system_name", _KINDS)
 
 
-@query("""WITH f AS (SELECT DISTINCT file_id, system_name, relative_path, content IS NULL AS unread FROM source_file), e AS (SELECT DISTINCT system_name, relative_path FROM failed_file)
-SELECT f.system_name, count(*) AS discovered, count(*) FILTER (NOT lower(f.relative_path) LIKE '%.sql') AS ignored, count(*) FILTER (lower(f.relative_path) LIKE '%.sql') AS scanned, count(*) FILTER (lower(f.relative_path) LIKE '%.sql') AS supported,
- 0::BIGINT AS unsupported, count(*) FILTER (lower(f.relative_path) LIKE '%.sql' AND e.relative_path IS NOT NULL) AS failed, (count(*) FILTER (lower(f.relative_path) LIKE '%.sql' AND e.relative_path IS NULL AND NOT unread))::BIGINT AS objects
-FROM f LEFT JOIN e ON f.system_name = e.system_name AND f.relative_path = e.relative_path GROUP BY 1""")
+@query(P.FILE_OBJECTS + """, g AS (SELECT file_id, count(*) AS objects FROM o GROUP BY 1), h AS (SELECT DISTINCT file_id, system_name, relative_path, lower(relative_path) LIKE '%.sql' AS sql FROM source_file), e AS (SELECT DISTINCT system_name, relative_path FROM failed_file)
+SELECT h.system_name, count(*) AS discovered, count(*) FILTER (NOT sql) AS ignored, count(*) FILTER (sql) AS scanned, count(*) FILTER (sql) AS supported, 0::BIGINT AS unsupported,
+ count(*) FILTER (sql AND e.relative_path IS NOT NULL) AS failed, coalesce(sum(g.objects) FILTER (sql AND e.relative_path IS NULL), 0)::BIGINT AS objects
+FROM h LEFT JOIN e ON h.system_name = e.system_name AND h.relative_path = e.relative_path LEFT JOIN g ON g.file_id = h.file_id GROUP BY 1""")
 def repo_funnel(spark, d):
+    """Per repository: files, those a parser takes, those reported as failed, and the objects that
+    the others define, but for plain tables."""
     e = table(spark, d, "failed_file").select("system_name", "relative_path").distinct().withColumn("e", F.lit(True))
-    f = table(spark, d, "source_file").select("file_id", "system_name", "relative_path", F.col("content").isNull().alias("unread")).distinct().join(e, ["system_name", "relative_path"], "left")
+    n = file_objects(spark, d).where("description is not null").groupBy("file_id").agg(F.count("*").alias("n"))
+    f = table(spark, d, "source_file").select("file_id", "system_name", "relative_path").distinct().join(e, ["system_name", "relative_path"], "left").join(n, "file_id", "left")
     sql = O.dispatch(extension("relative_path")).isNotNull()
     bad = F.coalesce("e", F.lit(False))
-    return T.funnel(f.select("system_name", (~sql).alias("ignored"), sql.alias("supported"), F.lit(None).cast("string").alias("unsupported_reason"), bad.alias("failed"), F.when(sql & ~bad & ~F.col("unread"), 1).otherwise(0).cast("long").alias("objects")), "system_name")
+    return T.funnel(f.select("system_name", (~sql).alias("ignored"), sql.alias("supported"), F.lit(None).cast("string").alias("unsupported_reason"), bad.alias("failed"), F.when(sql & ~bad, F.coalesce("n", F.lit(0))).otherwise(0).cast("long").alias("objects")), "system_name")
 
 
 @query(P.EXPECTED + """, s AS (SELECT sum(CASE WHEN k % 3 = 0 THEN 1 WHEN k % 7 = 4 AND k % 4 IN (1, 2) THEN 1 ELSE 0 END + CASE WHEN k % 7 = 6 THEN 2 ELSE 1 END + CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END)::BIGINT n FROM p)

@@ -60,3 +60,45 @@ a AS (
 ), o AS (
   SELECT k, seq, object_type, CASE WHEN object_type = 'TRIGGER' THEN name ELSE s || '.' || name END AS qualified_name, name, s FROM a WHERE NOT broken
 )"""
+
+
+# The same steps over the SQL files themselves, for DuckDB: f(file_id, stem, c), t(file_id, stem, ss)
+# with the statements of each file, k with those that create or alter an object. DuckDB's patterns
+# know no references, so the tags of dollar quotes that the files hold are named one by one.
+_TAGS = ("", "body", "fn")
+_PARTS = ["[^;'\"$/-]+", "--[^\\r\\n]*", "/\\*(?s:.*?)(?:\\*/|\\z)", "'(?:[^'\\\\]|''|\\\\(?s:.)|\\\\\\z)*(?:'|\\z)", '"(?:[^"]|"")*(?:"|\\z)', *[f"\\${t}\\$(?s:.*?)(?:\\${t}\\$|\\z)" for t in _TAGS], "[-/$]"]
+_BLANK = "[\\s\\x0b\\x1c-\\x1f\\x85\\x{A0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _stripped(x: str) -> str:
+    return f"regexp_replace({x}, {quoted(f'^{_BLANK}+|{_BLANK}+$')}, '', 'g')"
+
+
+_NAME = "regexp_extract(relative_path, '([^/]*)$', 1)"
+FILE_STATEMENTS = f"""
+WITH f AS (SELECT DISTINCT file_id, CASE WHEN {_NAME} LIKE '_%.%' THEN regexp_replace({_NAME}, '\\.[^.]+$', '') ELSE {_NAME} END AS stem, content AS c FROM source_file WHERE lower(relative_path) LIKE '%.sql' AND content IS NOT NULL),
+b AS (SELECT file_id, stem, regexp_split_to_array(regexp_replace(c, {quoted("(?m)" + S.META[5:])}, '', 'g'), {quoted("(?im)" + S.BATCH[6:])}) AS bs FROM f),
+s AS (SELECT file_id, stem, flatten(list_transform(bs, lambda x: regexp_extract_all(x, {quoted(f"(?:{'|'.join(_PARTS)})+;?|;")}))) AS ss FROM b),
+t AS (SELECT file_id, stem, list_filter(list_transform(ss, lambda x: {_stripped("regexp_replace(x, '^\\x{FEFF}+', '')")}), lambda x: x <> '') AS ss FROM s),
+w AS (SELECT file_id, stem, list_transform(ss, lambda x: regexp_replace(regexp_replace(x, '^\\x{{FEFF}}+', ''), {quoted(f"^(?:{_BLANK}|--[^{chr(92)}n]*{chr(92)}n|/{chr(92)}*(?s:.*?){chr(92)}*/)+")}, '')) AS ss FROM t),
+k AS (SELECT file_id, stem, list_filter(list_transform(ss, lambda x: CASE WHEN x LIKE '--%' OR x LIKE '/*%' THEN '' ELSE {_stripped("x")} END), lambda x: regexp_matches(x, {quoted("(?i)" + S.CREATES[5:])}) AND NOT regexp_matches(x, {quoted("(?i)" + S.TEMPORARY[5:])})) AS ss FROM w)"""
+_RE2 = lambda p: quoted("(?i)" + p.removeprefix("(?iU)"))
+_FIRST = lambda what, stop: f"regexp_replace(regexp_extract(x, {quoted(f'(?i)^{chr(92)}s*CREATE{chr(92)}s+{what}{chr(92)}s+([^{chr(92)}s{stop}]+)')}, 1), '^\"+|\"+$', '', 'g')"
+# o: what each kept statement creates, but for plain tables.
+FILE_OBJECTS = (
+    FILE_STATEMENTS
+    + f""",
+u AS (SELECT file_id, stem, unnest(range(1, len(ss) + 1))::INTEGER AS stmt_no, unnest(ss) AS x FROM k),
+r AS (SELECT *, upper(regexp_extract(x, {_RE2(O.TSQL)}, 1)) AS kind, regexp_extract(x, {_RE2(O.TSQL)}, 2) AS raw, kind <> '' AND regexp_matches(x, {_RE2(O.TSQL_EVIDENCE)}) AS tsql FROM u),
+n AS (SELECT *, CASE WHEN tsql THEN CASE kind WHEN 'PROC' THEN 'PROCEDURE' ELSE kind END WHEN regexp_matches(x, {_RE2(O.REPLACEABLE["FUNCTION"])}) THEN 'FUNCTION' WHEN regexp_matches(x, {_RE2(O.REPLACEABLE["PROCEDURE"])}) THEN 'PROCEDURE'
+    WHEN regexp_matches(x, {_RE2(O.REPLACEABLE["TRIGGER"])}) THEN 'TRIGGER' WHEN regexp_matches(x, {_RE2(O.MATERIALIZED)}) THEN 'MATERIALIZED_VIEW' WHEN regexp_matches(x, {_RE2(O.TABLE_NAME)}) OR regexp_matches(x, {_RE2(O.TABLE_START)}) THEN 'TABLE'
+    WHEN regexp_matches(x, {_RE2(O.VIEW_NAME)}) AND regexp_matches(x, {_RE2(O.VIEW_BODY)}) THEN 'VIEW' END AS object_type FROM r),
+q AS (SELECT *, CASE WHEN tsql THEN array_to_string(list_transform(string_split(raw, '.'), lambda y: regexp_replace({_stripped("y")}, '^[\\[\\]]+|[\\[\\]]+$', '', 'g')), '.')
+    WHEN object_type = 'MATERIALIZED_VIEW' THEN {_FIRST("MATERIALIZED" + chr(92) + "s+VIEW", "(")} WHEN object_type = 'TRIGGER' THEN {_FIRST("(?:OR" + chr(92) + "s+REPLACE" + chr(92) + "s+)?TRIGGER", "")}
+    WHEN object_type = 'VIEW' THEN regexp_replace(regexp_extract(x, {_RE2(O.VIEW_NAME)}, 1), '\\s*\\.\\s*', '.', 'g') ELSE {_FIRST("(?:OR" + chr(92) + "s+REPLACE" + chr(92) + "s+)?(?:FUNCTION|PROCEDURE)", "(")} END AS qualified_name FROM n WHERE object_type <> 'TABLE' OR tsql),
+o AS (SELECT file_id, stmt_no, object_type, stem AS system_name, qualified_name, CASE WHEN tsql THEN regexp_extract(qualified_name, '([^.]*)$', 1) WHEN object_type = 'TRIGGER' THEN regexp_replace(regexp_extract(qualified_name, '([^.]*)$', 1), '^[\"\\[\\]]+|[\"\\[\\]]+$', '', 'g') ELSE regexp_replace(regexp_extract(qualified_name, '([^.]*)$', 1), '^\"+|\"+$', '', 'g') END AS name, x FROM q WHERE qualified_name <> '')"""
+)
