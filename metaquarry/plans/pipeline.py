@@ -15,7 +15,7 @@ from metaquarry.operators.columns import columns_of
 from metaquarry.operators.relations import candidates, properties
 from metaquarry.operators.reports import scan_summary, write_report
 from metaquarry.operators.statements import kept_statements
-from metaquarry.session import cut
+from metaquarry.session import cut, dropped_after
 from metaquarry.sources import files as S
 
 # Parsers by name: decoded files to read statements. Others can be registered.
@@ -74,6 +74,11 @@ def scan_files(found: DataFrame, *, strict: bool = False, created_at: Column | N
 
 def run_scan(spark: SparkSession, root: str, catalog: C.Catalog, report: str = "scan-report", *, say: Callable[[str], None] = print) -> int:
     """Scans a folder into the catalogue and writes the report; 1 if there is no such folder."""
+    with dropped_after(spark):
+        return _run_scan(spark, root, catalog, report, say)
+
+
+def _run_scan(spark: SparkSession, root: str, catalog: C.Catalog, report: str, say: Callable[[str], None]) -> int:
     began = time.perf_counter()
     try:
         found = S.discover(spark, root)

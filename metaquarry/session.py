@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,13 +63,38 @@ def cut(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     df.write.parquet(path)
     new = spark.read.schema(df.schema).parquet(path)
     new.cut_path = path
+    owned = _OWNED.get()
+    if owned is not None:
+        owned.append(path)
     old = instead_of.__dict__.get("cut_path") if instead_of is not None else None
     if old:
-        at = spark._jvm.org.apache.hadoop.fs.Path(old)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _drop(spark, old)
     return new
 
 
+_OWNED: ContextVar[list[str] | None] = ContextVar("tables of the plan at work", default=None)
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def dropped_after(spark: SparkSession) -> Iterator[None]:
+    """Owns the tables that cut() writes within it and drops them at its end: whoever runs a plan
+    and stores its result puts both inside, so a long session does not fill the shared folder.
+    What is read lazily after it has no tables any more."""
+    paths: list[str] = []
+    before = _OWNED.set(paths)
+    try:
+        yield
+    finally:
+        _OWNED.reset(before)
+        for path in paths:
+            _drop(spark, path)
+
+
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint if df has at most `most` rows, else df as it is, which joins by shuffle."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

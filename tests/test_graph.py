@@ -75,3 +75,11 @@ def test_large_levels_are_numbered_by_sorting(spark, monkeypatch):
 def test_reachable(spark):
     e = table(spark, [("a", "b", 1), ("b", "c", 1), ("c", "a", 1), ("a", "c", 1)])
     assert rows(G.reachable(e, "a").select("object_id", "depth")) == [("b", 1), ("c", 1)]
+
+
+def test_two_steps_through_a_hub(spark):
+    data = [(f"i{i}", "hub") for i in range(30)] + [("hub", f"o{i}") for i in range(7)] + [("o1", "i1"), ("hub", "hub"), ("a", None), (None, "b"), ("i1", "hub")]
+    e = spark.createDataFrame(data, "from_object_id string, to_object_id string")
+    edges = {(f, t) for f, t in data if f and t and f != t}
+    want = sorted(edges | {(f, u) for f, t in edges for t2, u in edges if t == t2 and f != u})
+    assert rows(G.within_two(e)) == want and rows(G.within_two(e, hot_rows=5)) == want and rows(G.within_two(e.limit(0))) == []

@@ -1,6 +1,7 @@
 """Scans end to end: folder to catalogue, report and console."""
 
 import json
+import os
 
 import pytest
 
@@ -8,6 +9,7 @@ from conftest import rows
 from metaquarry import cli, connection
 from metaquarry.operators.catalog import Catalog
 from metaquarry.plans import pipeline as P
+from metaquarry.session import cut, dropped_after, shared_dir
 from metaquarry.sources import files as S
 
 
@@ -80,3 +82,12 @@ def test_connection_settings(spark, tmp_path):
     spark.conf.set("spark.metaquarry.catalog.host", "h")
     with pytest.raises(ValueError, match="no port, no database"):
         connection.from_session(spark)
+
+
+def test_tables_of_a_plan_are_dropped_with_it(spark):
+    folder = shared_dir(spark).removeprefix("file://")
+    kept = cut(spark.range(3))
+    before = set(os.listdir(folder))
+    with dropped_after(spark):
+        assert cut(cut(spark.range(5)).where("id > 1")).count() == 3 and len(set(os.listdir(folder)) - before) == 2
+    assert set(os.listdir(folder)) == before and kept.count() == 3
