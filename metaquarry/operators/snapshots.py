@@ -61,9 +61,9 @@ def snapshot_changes(rows: DataFrame, jobs: DataFrame) -> DataFrame:
     pairs = cut(snapshot_pairs(jobs))
     ids = small(pairs.select(F.col("_job").alias("scan_job_id"), "_jn"))
     of = rows.select("scan_job_id", "qualified_name", "column_name", plain_type("datatype").alias("dt"), "loaded_at").join(ids, "scan_job_id")
-    # One number for all trees: no snapshot has more than this many rows times the number of jobs.
-    mean = rows.select("scan_job_id").join(ids, "scan_job_id").count() // max(1, pairs.count())
-    depth = tree_depth(mean)
+    # One depth for all trees. Counting all rows of a Parquet table reads its footers only; that
+    # some rows belong to no snapshot makes leaves a little smaller.
+    depth = tree_depth(rows.count() // max(1, pairs.count()))
     state = (
         of.groupBy("_jn", "qualified_name", "column_name")
         .agg(F.max_by(F.struct("dt"), F.struct("loaded_at", "dt")).alias("s"))
