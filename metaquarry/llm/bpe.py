@@ -19,6 +19,7 @@ import numpy as np
 
 TOKENIZERS = "/opt/tokenizers"
 DEFAULT = "byte_bpe_50k"
+MOST_BYTES = 100_000_000
 CACHED_WORDS, CACHED_PAIRS = 400_000, 500_000
 
 # The endings that an apostrophe at the start of a word takes with it.
@@ -90,12 +91,21 @@ def word_starts(codes: np.ndarray, text_start: np.ndarray) -> np.ndarray:
     return start
 
 
+def vocabulary(name: str = DEFAULT, folder: str = TOKENIZERS) -> bytes:
+    """The vocabulary file, read by the driver and small enough to be sent to the workers, which
+    need not have the folder."""
+    path = os.path.join(folder, f"{name}.tiktoken")
+    if os.path.getsize(path) > MOST_BYTES:
+        raise ValueError(f"{path} has more than {MOST_BYTES} bytes")
+    with open(path, "rb") as f:
+        return f.read()
+
+
 class Encoder:
     """Encodes words with the ranks of one vocabulary file."""
 
-    def __init__(self, name: str = DEFAULT, folder: str = TOKENIZERS):
-        with open(os.path.join(folder, f"{name}.tiktoken"), "rb") as f:
-            self.ids = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    def __init__(self, file: bytes):
+        self.ids = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file.splitlines())}
         self.single = [self.ids[bytes([b])] for b in range(256)]
         self.pieces = {i: p for p, i in self.ids.items()}
         self.merge: dict[tuple[int, int], int] = {}
@@ -219,6 +229,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(name: str = DEFAULT, folder: str = TOKENIZERS) -> Encoder:
-    """One encoder per Python worker, with its cache of words."""
-    return Encoder(name, folder)
+def encoder(file: bytes | None = None) -> Encoder:
+    """One encoder per Python worker and vocabulary, with its cache of words."""
+    return Encoder(vocabulary() if file is None else file)

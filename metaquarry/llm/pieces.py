@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metaquarry.llm.bpe import DEFAULT, TOKENIZERS, Encoder, char_classes, encoder
+from metaquarry.llm.bpe import DEFAULT, TOKENIZERS, Encoder, char_classes, encoder, vocabulary
 from metaquarry.llm.tokens import by_size
 from metaquarry.session import small
 
@@ -152,8 +152,10 @@ def split_oversized(docs: DataFrame, limits: DataFrame, *, tokenizer: str = DEFA
     d = docs.select("doc_id", "source", "text").where("length(text) > 0").join(own, "source", "left")
     d = d.select("doc_id", "text", F.coalesce("own", rest).alias("l")).select("doc_id", "text", F.col("l.max_tokens").cast("int").alias("most"), F.coalesce("l.overlap_tokens", F.lit(0)).cast("int").alias("overlap")).where("most is not null and octet_length(text) > most")
 
+    held = docs.sparkSession.sparkContext.broadcast(vocabulary(tokenizer, folder))
+
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer, folder)
+        enc = encoder(held.value)
         sizes = np.zeros(max(enc.pieces) + 1, dtype=np.int64)
         for i, p in enc.pieces.items():
             sizes[i] = len(p)

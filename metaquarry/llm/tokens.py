@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from metaquarry.llm.bpe import DEFAULT, TOKENIZERS, encoder
+from metaquarry.llm.bpe import DEFAULT, TOKENIZERS, encoder, vocabulary
 
 BATCH_CHARS = 1_000_000
 
@@ -36,8 +36,10 @@ def token_ids(docs: DataFrame, *, key: str = "doc_id", text: str = "text", token
     Texts are encoded whole, however long. Repeated rows and rows with a null key are kept as they
     are, further columns are not. Nothing is shuffled."""
 
+    held = docs.sparkSession.sparkContext.broadcast(vocabulary(tokenizer, folder))
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer, folder)
+        enc = encoder(held.value)
         for batch in batches:
             texts = _texts(batch.column(1))
             for a, b in by_size(texts):
@@ -52,8 +54,10 @@ def token_ids(docs: DataFrame, *, key: str = "doc_id", text: str = "text", token
 def token_counts(docs: DataFrame, *keep: str, text: str = "text", tokenizer: str = DEFAULT, folder: str = TOKENIZERS) -> DataFrame:
     """The columns `keep` and n_tokens of each row; null and empty texts have 0."""
 
+    held = docs.sparkSession.sparkContext.broadcast(vocabulary(tokenizer, folder))
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer, folder)
+        enc = encoder(held.value)
         for batch in batches:
             texts = _texts(batch.column(0))
             n = [enc.count(texts[a:b]) for a, b in by_size(texts)]

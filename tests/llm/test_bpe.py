@@ -51,7 +51,7 @@ def test_long_random_text(plain):
 
 def test_cache_is_bounded(plain, monkeypatch):
     monkeypatch.setattr(bpe, "CACHED_WORDS", 3)
-    e = bpe.Encoder()
+    e = bpe.Encoder(bpe.vocabulary())
     for t in ("alpha beta gamma delta", "epsilon zeta", "alpha"):
         assert e.encode([t])[0].tolist() == plain(t)
     assert len(e.words) < 9
@@ -68,3 +68,9 @@ def test_tables(spark, plain):
 def test_slices():
     texts = ["a" * 5, "", "b" * 5, "c" * 50, "d"]
     assert list(tokens.by_size(texts, 10)) == [(0, 3), (3, 4), (4, 5)] and list(tokens.by_size([], 10)) == []
+
+
+def test_a_vocabulary_of_no_bound_is_refused(monkeypatch):
+    monkeypatch.setattr(bpe, "MOST_BYTES", 10)
+    with pytest.raises(ValueError, match="more than 10 bytes"):
+        bpe.vocabulary()
